@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, secrets, sharding
+from . import chat, langid, mixing, secrets, sharding, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,7 +74,9 @@ def queries() -> dict[str, Query]:
         "op3_secret_scan": op3_secret_scan,
         "op4_sharding": op4_sharding,
         "op6_mixing": op6_mixing,
+        "op7_token_output": op7_token_output,
         "op8_language_id": op8_language_id,
+        "op9_simhash": op9_simhash,
         "op10_chat_format": op10_chat_format,
     }
 
