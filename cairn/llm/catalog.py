@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, secrets, sharding, simhash, tokens
+from . import chat, decontam, langid, licenses, mixing, neighbours, secrets, sharding, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER_FILE))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -71,8 +83,11 @@ SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, len(loss) AS loss_cha
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_secret_scan": op3_secret_scan,
         "op4_sharding": op4_sharding,
+        "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
         "op7_token_output": op7_token_output,
         "op8_language_id": op8_language_id,

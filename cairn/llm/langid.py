@@ -138,42 +138,64 @@ def learn(docs: DataFrame, dim: int = DIM, sample: int = SAMPLE) -> tuple[list[s
     return langs, np.array([proto[x] / np.linalg.norm(proto[x]) for x in langs]).reshape(len(langs), dim)
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, columns: list[str]) -> DataFrame:
-    """The given columns of every row, lang_pred and score (the cosine; 0 where negative)."""
-    dim = prototypes.shape[1] if len(langs) else DIM
-    mean = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(dim)
-    own = (prototypes - mean) if len(langs) else prototypes
-    norms = np.linalg.norm(own, axis=1) if len(langs) else np.zeros(0)
-    own = (own / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32) if len(langs) else own
-    mean32 = mean.astype(np.float32)
-
-    def one(p: Profiler, text: str | None) -> tuple[str, float]:
-        v = p.vector(text) if text and langs else None
+class Classifier:
+    """Prototypes, made ready for single texts."""
+
+    def __init__(self, langs: list[str], prototypes: np.ndarray):
+        self.langs = langs
+        self.dim = prototypes.shape[1] if langs else DIM
+        mean = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(self.dim)
+        own = prototypes - mean if langs else np.zeros((0, self.dim))
+        norms = np.linalg.norm(own, axis=1)
+        self.own = (own / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+        self.mean = mean.astype(np.float32)
+
+    def one(self, p: Profiler, text: str | None) -> tuple[str, float]:
+        v = p.vector(text) if text and self.langs else None
         if v is None:
             return UND, 0.0
-        c = v - mean32
+        c = v - self.mean
         n = float(np.linalg.norm(c))
-        cos = own @ (c / n if n else c)
+        cos = self.own @ (c / n if n else c)
         best = int(np.argmax(cos))
-        return langs[best], float(min(1.0, max(0.0, cos[best])))
+        return self.langs[best], float(min(1.0, max(0.0, cos[best])))
+
+
+def predict(docs: DataFrame, classifier: Classifier, columns: list[str]) -> DataFrame:
+    """The given columns of every row, lang_pred and score (the cosine; 0 where negative)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Profiler(dim)
+        p = Profiler(classifier.dim)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            got = [one(p, t.as_py()) for t in texts]
+            got = [classifier.one(p, t.as_py()) for t in batch.column(batch.num_columns - 1)]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, "lang_pred", "score"])
 
     ready(docs.sparkSession)
-    kept = docs.select(*columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out_fold: int = 1, folds: int = 3) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; the held-out fold is never learned from."""
     base = docs.select("doc_id", "text", "lang")
-    langs, prototypes = learn(base.where(bucket(folds) != held_out_fold))
-    out = predict(base, langs, prototypes, ["doc_id"])
+    classifier = Classifier(*learn(base.where(bucket(folds) != held_out_fold)))
+    out = predict(base, classifier, ["doc_id"])
     return out.select("doc_id", (bucket(folds) == held_out_fold).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known: neither `und` nor unlike every language
+    (score 0). If no row has a language to learn from, all rows stay."""
+    classifier = Classifier(*learn(docs.select("doc_id", "text", "lang")))
+    if not classifier.langs:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Profiler(classifier.dim)
+        for batch in batches:
+            yield batch.filter(pa.array([classifier.one(p, t.as_py())[1] > 0 for t in batch.column(at)], pa.bool_()))
+
+    ready(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ready, written
+from .common import fresh, partitions, ready, written
 
 BITS, SEED = 64, 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -468,5 +468,6 @@ def near_groups(docs: DataFrame, bits: int = NEAR_BITS, shingle: int = NEAR_SHIN
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs without those that have a near duplicate of a lesser doc_id; rows with a null doc_id stay."""
-    copies = near_groups(docs, **parameters).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    name = fresh(docs.columns, "copy_id")
+    copies = written(near_groups(docs, **parameters).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(copies, F.col("doc_id") == F.col(name), "left_anti")
