@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Abbreviations that don't end a sentence (the last word before the stop, lower case).
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "no"]
@@ -55,7 +56,10 @@ def sentence_spans(text: str | None, abbreviations: frozenset[str] = frozenset(A
     return spans
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(SPAN))
 def sentences_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in sentence_spans(t)] if t else [])
 
@@ -201,7 +205,7 @@ def repair_bytes(text: str | None) -> str | None:
     return text.replace("Ġ", " ").replace("Ċ", "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_bytes_udf(texts: pd.Series) -> pd.Series:
     return texts.map(repair_bytes)
 
@@ -216,7 +220,7 @@ def cut_before_last(text: str | None, n: int = 2, least_text: int = 120, least_h
     return head if len(head) >= least_head and len(tail) >= least_tail else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cut_before_last_udf(texts: pd.Series) -> pd.Series:
     return texts.map(cut_before_last)
 

@@ -54,3 +54,8 @@ def wilson_sql(k: str, n: str) -> tuple[str, str]:
     middle = f"(({p} + {z} * {z} / (2.0 * {n})) / (1 + {z} * {z} / {n}))"
     half = f"({z} * sqrt({p} * (1 - {p}) / {n} + {z} * {z} / (4.0 * {n} * {n})) / (1 + {z} * {z} / {n}))"
     return f"CASE WHEN {n} > 0 THEN GREATEST(0.0, {middle} - {half}) END", f"CASE WHEN {n} > 0 THEN LEAST(1.0, {middle} + {half}) END"
+
+
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, intervals, text
 from ..operators import curves, joins, metrics, select, summaries
-from .registry import PROBES, query, r6, rounded, table
+from .registry import PROBES, micros, query, r6, rounded, table
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -230,8 +230,8 @@ def cosine_top_pairs(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT label, unnest(range(64)) AS at, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT label, at, AVG(x) AS mean FROM x GROUP BY 1, 2)
-SELECT a.label, CAST(a.at AS INT) AS at, round(a.mean - b.mean, 6) + 0.0 AS difference FROM m a JOIN m b ON a.at = b.at AND b.label = 0 WHERE a.label <> 0"""
+    """WITH x AS (SELECT label, unnest(range(64)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT label, k, AVG(x) AS mean FROM x GROUP BY 1, 2)
+SELECT a.label, CAST(a.k AS INT) AS "at", round(a.mean - b.mean, 6) + 0.0 AS difference FROM m a JOIN m b ON a.k = b.k AND b.label = 0 WHERE a.label <> 0"""
 )
 def mean_vector_difference(spark, d):
     means = metrics.mean_vectors(table(spark, d, "embeddings"), ["label"], "embedding")
@@ -311,7 +311,7 @@ def donor_theta_join(spark, d):
 SELECT p.event_id AS point, s.event_id AS span FROM p JOIN s ON p.user_id = s.user_id AND p.t >= s.a AND p.t < s.b"""
 )
 def range_join_spans(spark, d):
-    at = F.unix_micros("ts").cast("double") / 1e6
+    at = micros("ts").cast("double") / 1e6
     e = table(spark, d, "events").withColumn("t", at)
     spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("t").alias("a"), (F.col("t") + 3600 * (1 + F.col("event_id") % 5)).alias("b"))
     points = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("point"), "t")

@@ -54,9 +54,8 @@ def prompts_by_index(rows: DataFrame, cell: list[str], prompt: str) -> tuple[Dat
     from pyspark.sql import Window
 
     table = rows.select(*cell, prompt).distinct().withColumn("pi", F.row_number().over(Window.partitionBy(*cell).orderBy(prompt)) - 1)
-    same = [rows[c].eqNullSafe(table[c]) for c in [*cell, prompt]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    kept = [rows[c] for c in rows.columns if c != prompt]
-    return rows.join(table, on).select(*kept, table["pi"]), table
+    right = table.select(*[F.col(c).alias(f"_{c}") for c in [*cell, prompt]], "pi")
+    on = F.lit(True)
+    for c in [*cell, prompt]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(right, on).select(*[c for c in rows.columns if c != prompt], "pi"), table
