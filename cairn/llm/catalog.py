@@ -97,4 +97,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op10_chat_format": _chat_oracle()}
+    return {"op4_sharding": sharding.oracle(), "op6_mixing": mixing.ORACLE, "op10_chat_format": _chat_oracle()}

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RACKS_PER_REGION, SHARDS_PER_RACK = 2, 4
-#: Slots are counted within so many hash cells of each shard and then offset, so that no task holds a shard.
-SLOT_CELLS = 4096
+#: Slots are counted within hash cells of each shard (so many hex digits of md5) and then offset: no task holds a shard.
+CELL_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,8 @@ def assign_shards(df: DataFrame, key: str, tree: Node, out: str = "shard") -> Da
 
 def with_slots(df: DataFrame, shard: str, order: list[str], out: str = "slot") -> DataFrame:
     """Number the rows of each shard from 0 without gaps, by hash cell, then by `order`; equal rows in any order."""
-    cells = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(SLOT_CELLS)).cast("int"))
+    whole = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
+    cells = df.withColumn("_cell", F.substring(F.md5(whole), 1, CELL_DIGITS))
     counts = cells.groupBy(shard, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -106,3 +107,28 @@ def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
         descend(key, shard_tree(n_shards + 1)).cast("int").alias("grown_shard"),
     )
     return with_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _values(tree: Node, name: str) -> list[str]:
+    """The tree's edges as rows of SQL."""
+    out = [f"('{name}', '{tree.name}', '{c.name}', CAST({c.weight} AS DOUBLE), {c.shard})" for c in tree.children]
+    return out + [x for c in tree.children for x in _values(c, name)]
+
+
+def oracle(n_shards: int = 24) -> str:
+    """shard_documents in SQL; the CRC32 is folded byte by byte over its table."""
+    edges = ", ".join(_values(shard_tree(n_shards), "now") + _values(shard_tree(n_shards + 1), "grown"))
+    draw = "-ln((CAST('0x' || substr(md5(d.k || ':' || e.name), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE)) / e.weight"
+    step = lambda to, of: f"{to} AS (SELECT d.rid, d.k, e.tree, arg_min(e.name, {draw}) AS at, arg_min(e.shard, {draw}) AS shard FROM {of} d JOIN edges e ON e.parent = d.at AND e.tree = d.tree GROUP BY 1, 2, 3)"
+    return f"""
+WITH edges(tree, parent, name, weight, shard) AS (VALUES {edges}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(CAST(doc_id AS VARCHAR), 'null') AS k, COALESCE(text, '') AS text FROM documents),
+start AS (SELECT rid, k, t.tree, 'root' AS at FROM docs, (VALUES ('now'), ('grown')) t(tree)),
+{step("a", "start")}, {step("b", "a")}, {step("c", "b")},
+tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, n)) AS t),
+bytes AS (SELECT rid, list_transform(range(strlen(text)), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT)) AS b FROM docs),
+crcs AS (SELECT rid, xor(list_reduce(b, lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM bytes, tbl),
+rows AS (SELECT d.doc_id, CAST(strlen(d.text) + 8 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, n.shard, g.shard AS grown_shard
+  FROM docs d JOIN crcs USING (rid) JOIN c n ON n.rid = d.rid AND n.tree = 'now' JOIN c g ON g.rid = d.rid AND g.tree = 'grown')
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws('|', COALESCE(CAST(doc_id AS VARCHAR), 'null'), text_crc32, size)), 1, {CELL_DIGITS}), doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM rows
+"""
