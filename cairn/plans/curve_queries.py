@@ -123,7 +123,7 @@ def aligned_profile(spark, d):
 @query(
     f"""WITH {PROBES}, c AS (SELECT trace, COUNT(*) AS np FROM p GROUP BY trace),
 v AS (SELECT LEAST(9, GREATEST(0, CAST(floor(LEAST(1.0, GREATEST(0.0, CAST(juncture AS DOUBLE) / (np - 1))) / 1.0 * 10) AS INT))) AS bin FROM firsts JOIN c USING (trace) WHERE np > 1)
-SELECT CAST(b.range AS INT) AS bin, COUNT(v.bin) AS n, round(b.range * 0.1, 6) AS edge FROM range(10) b LEFT JOIN v ON v.bin = b.range GROUP BY b.range"""
+SELECT CAST(b.range AS INT) AS bin, COUNT(v.bin) AS n, round(b.range * CAST(0.1 AS DOUBLE), 6) AS edge FROM range(10) b LEFT JOIN v ON v.bin = b.range GROUP BY b.range"""
 )
 def jpos_histogram(spark, d):
     return rounded(curves.histogram(trace_index(spark, d), "jpos", 0.0, 1.0, 10), "edge")
@@ -131,7 +131,7 @@ def jpos_histogram(spark, d):
 
 @query(
     f"""WITH {PROBES}, v AS (SELECT LEAST(7, GREATEST(0, CAST(floor((round(jump, 9) + 1.0) / 2.0 * 8) AS INT))) AS bin FROM firsts)
-SELECT CAST(b.range AS INT) AS bin, COUNT(v.bin) AS n, round(-1.0 + b.range * 0.25, 6) AS edge FROM range(8) b LEFT JOIN v ON v.bin = b.range GROUP BY b.range"""
+SELECT CAST(b.range AS INT) AS bin, COUNT(v.bin) AS n, round(-1.0 + b.range * CAST(0.25 AS DOUBLE), 6) AS edge FROM range(8) b LEFT JOIN v ON v.bin = b.range GROUP BY b.range"""
 )
 def jump_histogram(spark, d):
     jumps = curves.first_juncture(_steps(spark, d)).withColumn("jump", F.round("jump", 9))
