@@ -32,10 +32,10 @@ def read_lines(spark: SparkSession, path: str, recursive: str | None = None) ->
 
     A line's number is its place in its file: files are read whole by one task each, as mined files are small.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", recursive)
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
     return files.where(F.trim("text") != "").select("path", (F.col("at") + 1).alias("line_num"), "text")
 
 
@@ -81,7 +81,7 @@ def traces(spark: SparkSession, root: str) -> DataFrame:
 
 def damaged_traces(spark: SparkSession, glob: str) -> DataFrame:
     """The first complete document of each file, whatever stands behind it."""
-    files = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), object_udf("document")("value").alias("raw"))
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), object_udf("document")("value").alias("raw"))
     return files.where("raw is not null").select("path", F.from_json("raw", T.StructType.fromDDL(TRACE)).alias("d")).select("path", "d.*")
 
 
