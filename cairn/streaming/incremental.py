@@ -18,9 +18,14 @@ class Sampler(Protocol):
     def __call__(self, trace: str, boundary: int, n: int) -> tuple[int, int]: ...
 
 
+def _marked(events: DataFrame, watermark: str | None) -> DataFrame:
+    """With a watermark, which takes times with a zone only: those without are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if watermark else events
+
+
 def windowed(events: DataFrame, size: str = "1 hour", watermark: str | None = None, slide: str | None = None) -> DataFrame:
     """Events, errors and values by window and type; the same plan on a table and on a stream (with a watermark)."""
-    rows = events.withWatermark("ts", watermark) if watermark else events
+    rows = _marked(events, watermark)
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = rows.groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
@@ -28,7 +33,7 @@ def windowed(events: DataFrame, size: str = "1 hour", watermark: str | None = No
 
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str | None = None) -> DataFrame:
     """Sessions of each user, parted by gaps without events."""
-    rows = events.withWatermark("ts", watermark) if watermark else events
+    rows = _marked(events, watermark)
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "errors")
 
