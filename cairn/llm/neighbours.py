@@ -196,8 +196,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "v
         if left.num_rows and right.num_rows:
             ids, x = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks())
             b = np.array(left.column("b").to_pylist(), dtype=np.int64)
-            alone = np.unique(np.concatenate([ids[:, None].astype(np.float64), x], axis=1), axis=0, return_index=True)[1]
-            ids, x, b = ids[alone], x[alone], b[alone]
+            if len(np.unique(ids)) < len(ids):  # rows that repeat id and vector count once
+                alone = list({(int(i), v.tobytes()): k for k, (i, v) in enumerate(zip(ids, x, strict=True))}.values())
+                ids, x, b = ids[alone], x[alone], b[alone]
             places = [np.searchsorted(known[t], b[:, t]) for t in range(len(known))]
             q_ids, q = right.column("id").to_numpy(), matrix(right.column("v").combine_chunks())
             raw = np.frombuffer(b"".join(right.column("visits").to_pylist()), np.uint8).reshape(len(q), -1)
