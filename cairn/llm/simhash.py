@@ -39,7 +39,7 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.005
 #: Candidates verified at once, bytes of rows for one task.
 STEP, TASK_BYTES = 2_000_000, 64 << 20
 #: Near-dedup: words as features, bits within which candidates are probed, words of a shingle, the similarity.
-NEAR_BITS, NEAR_SHINGLE, NEAR_SIMILARITY = 8, 5, 0.8
+NEAR_BITS, NEAR_SHINGLE, NEAR_SIMILARITY = 7, 5, 0.8
 BINS = 128
 
 
@@ -126,7 +126,11 @@ def near_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame
 
 
 def choose_parts(n: int, bits: int) -> int:
-    """The number of parts for n fingerprints, by the cost of probes and candidates if all values were as common."""
+    """The number of parts for n fingerprints, by the cost of probes and candidates if all values were as common.
+
+    n counts as the next power of 64: within such a range the probes of a fingerprint don't change, so rows grow with n.
+    """
+    n = 64 ** math.ceil(math.log(max(n, 2), 64) - 1e-9)
 
     def cost(m: int) -> float:
         spare, w = bits - m + 1, BITS / m

@@ -36,7 +36,7 @@ END_ID = 2
 MAGIC, WIDTH, RANK_BITS = b"DAC1", 8, 512
 BLOCK_TOKENS = 1 << 18
 #: Runs kept with their ids in a worker, and the longest that is kept.
-CACHE_RUNS, CACHE_CHARS = 1_000_000, 32
+CACHE_RUNS, CACHE_CHARS = 600_000, 32
 RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85᠎​]")
 
