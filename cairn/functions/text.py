@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Abbreviations that don't end a sentence (the last word before the stop, lower case).
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "no"]
-CLOSERS = "\"')]}"
+_STOP, _CLOSE, _BLANK, _LAST_WORD = re.compile("[.!?]"), re.compile("[.!?\"')\\]}]*"), re.compile("\\s*"), re.compile("([A-Za-z]+)$")
 
 
 def blank_runs_to_space(c: Column) -> Column:
@@ -23,36 +23,22 @@ def sentence_spans(text: str | None, abbreviations: frozenset[str] = frozenset(A
     brackets; white space between them is in none."""
     if not text:
         return []
-    spans, n, at, start = [], len(text), 0, 0
-    while start < n and text[start].isspace():
-        start += 1
-    at = start
-    while at < n:
-        c = text[at]
-        if c not in ".!?":
-            at += 1
-            continue
-        if c == ".":
-            if 0 < at < n - 1 and text[at - 1].isdigit() and text[at + 1].isdigit():
-                at += 1
+    spans, n = [], len(text)
+    start = at = _BLANK.match(text).end()
+    while stop := _STOP.search(text, at):
+        at = stop.end()
+        if stop[0] == ".":
+            if 0 < stop.start() < n - 1 and text[stop.start() - 1].isdigit() and text[at].isdigit():
                 continue
-            word = re.search(r"([A-Za-z]+)$", text[max(0, at - 12) : at])
+            word = _LAST_WORD.search(text[max(0, stop.start() - 12) : stop.start()])
             if word and word[1].lower() in abbreviations:
-                at += 1
                 continue
-        at += 1
-        while at < n and (text[at] in ".!?" or text[at] in CLOSERS):
-            at += 1
+        at = _CLOSE.match(text, at).end()
         spans.append((start, at))
-        while at < n and text[at].isspace():
-            at += 1
-        start = at
-    if start < n:
-        end = n
-        while end > start and text[end - 1].isspace():
-            end -= 1
-        if end > start:
-            spans.append((start, end))
+        start = at = _BLANK.match(text, at).end()
+    end = start + len(text[start:].rstrip())
+    if end > start:
+        spans.append((start, end))
     return spans
 
 
