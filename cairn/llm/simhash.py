@@ -39,8 +39,10 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.005
 #: Candidates verified at once, bytes of rows for one task.
 STEP, TASK_BYTES = 2_000_000, 64 << 20
 #: Near-dedup: words as features, bits within which candidates are probed, words of a shingle, the similarity.
-NEAR_BITS, NEAR_SHINGLE, NEAR_SIMILARITY = 7, 5, 0.8
+NEAR_BITS, NEAR_SHINGLE, NEAR_SIMILARITY = 8, 5, 0.8
 BINS = 128
+#: Bands of least hashes, and hashes of a band: a pair of similarity s shares none with (1 - s**4)**16, 0.0002 at 0.8.
+BANDS, BAND_HASHES = 16, 4
 
 
 # fingerprints
@@ -86,6 +88,19 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> bytes:
     return out.tobytes()
 
 
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * BAND_HASHES), dtype=np.uint64)
+TURN, FACTOR, FOLD = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1), _DRAWN[2] * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> bytes:
+    """A key for each band: of the least hashes under its own orders of all hashes. Equal sets have equal keys."""
+    least = np.full(BANDS * BAND_HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 4096):
+        mixed = (hashes[lo : lo + 4096, None] ^ TURN) * FACTOR
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    return ((least ^ (least >> np.uint64(29))) * FOLD).reshape(BANDS, BAND_HASHES).sum(axis=1, dtype=np.uint64).astype("<u8").tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The estimated Jaccard similarity of rows of sketches; 1 where both are empty."""
     same, both = ((a == b) & (a > 0)).sum(axis=1), ((a | b) > 0).sum(axis=1)
@@ -113,13 +128,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def near_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, fp (the SimHash of the distinct words) and the sketch of the text's distinct shingles."""
+    """doc_id, fp (the SimHash of the distinct words), the sketch and the bands of the text's distinct shingles."""
 
-    def one(text: str) -> tuple[int, bytes]:
+    def one(text: str) -> tuple[int, bytes, bytes]:
         words = words_of(text)
-        return _signed(majority(shingle_hashes(sorted(set(words)), 1))), sketch(shingle_hashes(words, shingle))
+        hashes = shingle_hashes(words, shingle)
+        return _signed(majority(shingle_hashes(sorted(set(words)), 1))), sketch(hashes), bands(hashes)
 
-    return _fingerprints(docs, one, "doc_id long, fp long, sketch binary", [pa.int64(), pa.binary()], ["fp", "sketch"])
+    return _fingerprints(docs, one, "doc_id long, fp long, sketch binary, bands binary", [pa.int64(), pa.binary(), pa.binary()], ["fp", "sketch", "bands"])
 
 
 # parts and thresholds
@@ -417,6 +433,37 @@ def link_trees(distinct: DataFrame, bits: int, least: float | None = None) -> Da
     return distinct.select(*names).mapInArrow(emit, schema).repartition(tasks, "key").mapInArrow(link, "a long, b long")
 
 
+def band_trees(distinct: DataFrame, least: float) -> DataFrame:
+    """Edges a, b between nodes of `distinct` (node, sketch, bands) that share a band, verified on sketches, as trees."""
+    spark = ready(distinct.sparkSession)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8").reshape(batch.num_rows, BANDS)
+                for i in range(BANDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, i] ^ i), batch.column(0), batch.column(1)], names=["key", "node", "sketch"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        del held
+        key = t.column("key").to_numpy()
+        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        shared = count[group] > 1  # a key of its own links nothing
+        t, key = t.filter(pa.array(shared)), key[shared]
+        node = t.column("node").to_numpy()
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), BINS)
+        a, b = linked(key, np.zeros(len(key), np.uint64), node, np.ones(len(key), np.int8), BITS, sketches, least)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    tasks = partitions(spark, math.ceil(distinct.count() * BANDS * (16 + BINS + 16) / TASK_BYTES))
+    rows = distinct.select("node", "sketch", "bands").mapInArrow(emit, "key long, node long, sketch binary")
+    return rows.repartition(tasks, "key").mapInArrow(link, "a long, b long")
+
+
 # components
 
 
@@ -459,13 +506,14 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3) -> Data
 def near_groups(docs: DataFrame, bits: int = NEAR_BITS, shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id and group (the least doc_id of its near duplicates) for all doc_ids but null.
 
-    Candidates are within `bits` of the SimHash of their words; they are verified on sketches of their shingles,
-    whose estimate of the Jaccard similarity has a standard error of 0.035 on long texts and of none on texts
+    Candidates are within `bits` of the SimHash of their words, or share a band of least hashes of their shingles
+    (text put in moves many bits of the words, not the bands); they are verified on sketches of their shingles, whose
+    estimate of the Jaccard similarity has a standard error of 0.035 on long texts and of none on texts
     of few shingles.
     """
     prints = written(near_fingerprints(docs.where("doc_id is not null"), shingle), "near-fingerprints")
-    distinct = written(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "near-distinct")
-    found = components(link_trees(distinct, bits, least))
+    distinct = written(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "near-distinct")
+    found = components(link_trees(distinct, bits, least).unionByName(band_trees(distinct, least)))
     placed = distinct.join(found, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("group"))
     return prints.join(placed, ["fp", "sketch"]).select("doc_id", "group")
 
