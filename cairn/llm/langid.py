@@ -10,7 +10,9 @@ Texts are lowered; what is not a letter parts words. The prototypes are learned
 documents, chosen by a hash of doc_id; all others are only predicted.
 
 Nulls: a null or letterless text is `und` with score 0. Null languages are not learned from. With nothing to
-learn from, everything is `und`. A tie goes to the language that sorts first. Repeated rows give repeated
+learn from, everything is `und`. The best language says nothing of whether it is any of them (centred cosines sum to
+zero, so the best is positive); `keep_identified` asks that of the plain cosine to it, which must reach a share of what
+the labelled texts of that language and like length reach. A tie goes to the language that sorts first. Repeated rows give repeated
 results; other columns take no part.
 """
 
@@ -31,8 +33,8 @@ SAMPLE = 20_000
 UND = "und"
 #: Trigrams whose vectors a task keeps.
 MOST_GRAMS = 60_000
-
-
+#: A text is like its language from this share of the low quantile of labelled texts on; fewer of these say nothing.
+LIKE_SHARE, LIKE_QUANTILE, LIKE_ROWS = 2 / 3, 0.05, 10
 
 
 class Profiler:
@@ -94,15 +96,19 @@ class Profiler:
 
     def vector(self, text: str) -> np.ndarray | None:
         """The bundle of the text's trigrams, of length one."""
+        return self.bundle(text)[0]
+
+    def bundle(self, text: str) -> tuple[np.ndarray | None, int]:
+        """The text's vector, and its length class: the whole part of log2 of its distinct trigrams."""
         grams, counts = self.trigrams(text)
         if not len(grams):
-            return None
+            return None, 0
         out = np.zeros(self.dim, np.float32)
         for lo in range(0, len(grams), 20_000):
             at = self.places(grams[lo : lo + 20_000])
             out += counts[lo : lo + 20_000].astype(np.float32) @ self.vectors[at]
         n = float(np.linalg.norm(out))
-        return out / n if n else None
+        return (out / n if n else None), len(grams).bit_length() - 1
 
 
 def bucket(mod: int) -> Column:
@@ -110,14 +116,20 @@ def bucket(mod: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % mod
 
 
-def learn(docs: DataFrame, dim: int = DIM, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their prototypes from rows with a language and a text."""
+def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows with a language and a text, about `sample` of them at most."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.count()
     if n > sample:
         share = int(sample / n * (1 << 32))
         key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
         rows = rows.where(key < share)
+    return rows
+
+
+def learn(docs: DataFrame, dim: int = DIM, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages, sorted, and their prototypes from rows with a language and a text."""
+    rows = labelled(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, sums = Profiler(dim), {}
@@ -142,7 +154,7 @@ class Classifier:
     """Prototypes, made ready for single texts."""
 
     def __init__(self, langs: list[str], prototypes: np.ndarray):
-        self.langs = langs
+        self.langs, self.prototypes = langs, prototypes.astype(np.float32)
         self.dim = prototypes.shape[1] if langs else DIM
         mean = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(self.dim)
         own = prototypes - mean if langs else np.zeros((0, self.dim))
@@ -151,8 +163,10 @@ class Classifier:
         self.mean = mean.astype(np.float32)
 
     def one(self, p: Profiler, text: str | None) -> tuple[str, float]:
-        v = p.vector(text) if text and self.langs else None
-        if v is None:
+        return self.best(p.vector(text) if text else None)
+
+    def best(self, v: np.ndarray | None) -> tuple[str, float]:
+        if v is None or not self.langs:
             return UND, 0.0
         c = v - self.mean
         n = float(np.linalg.norm(c))
@@ -161,6 +175,37 @@ class Classifier:
         return self.langs[best], float(min(1.0, max(0.0, cos[best])))
 
 
+def learn_floors(docs: DataFrame, classifier: Classifier, sample: int = SAMPLE) -> dict[str, dict[int, float]]:
+    """For each language, by length class, the least plain cosine of a text that is like it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, place = Profiler(classifier.dim), {x: i for i, x in enumerate(classifier.langs)}
+        for batch in batches:
+            got = [(x, *p.bundle(t.as_py())) for x, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if x in place]
+            got = [(x, size, float(v @ classifier.prototypes[place[x]])) for x, v, size in got if v is not None]
+            kinds = [pa.string(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["lang", "size", "cos"])
+
+    ready(docs.sparkSession)
+    own = labelled(docs, sample).select("lang", "text").mapInArrow(run, "lang string, size int, cos double").groupBy("lang", "size")
+    out: dict[str, dict[int, float]] = {}
+    for r in own.agg(F.count("*").alias("n"), F.percentile("cos", F.lit(LIKE_QUANTILE)).alias("low")).collect():
+        if r["n"] >= LIKE_ROWS:
+            out.setdefault(r["lang"], {})[r["size"]] = LIKE_SHARE * r["low"]
+    return out
+
+
+def like(classifier: Classifier, floors: dict[str, dict[int, float]], p: Profiler, text: str | None) -> bool:
+    """Is the text like its best language? By the floor of its length class, or of the next shorter one that has one;
+    where none has, by a positive score alone."""
+    v, size = p.bundle(text) if text else (None, 0)
+    lang, score = classifier.best(v)
+    if score <= 0:
+        return False
+    known = [k for k in floors.get(lang, ()) if k <= size]
+    return not known or float(v @ classifier.prototypes[classifier.langs.index(lang)]) >= floors[lang][max(known)]
+
+
 def predict(docs: DataFrame, classifier: Classifier, columns: list[str]) -> DataFrame:
     """The given columns of every row, lang_pred and score (the cosine; 0 where negative)."""
 
@@ -185,17 +230,18 @@ def identify(docs: DataFrame, held_out_fold: int = 1, folds: int = 3) -> DataFra
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known: neither `und` nor unlike every language
-    (score 0). If no row has a language to learn from, all rows stay."""
+    """The rows of docs, with all their columns, whose language is known: neither `und` nor unlike the labelled texts
+    of the best language. If no row has a language to learn from, all rows stay."""
     classifier = Classifier(*learn(docs.select("doc_id", "text", "lang")))
     if not classifier.langs:
         return docs
+    floors = learn_floors(docs.select("doc_id", "text", "lang"), classifier)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiler(classifier.dim)
         for batch in batches:
-            yield batch.filter(pa.array([classifier.one(p, t.as_py())[1] > 0 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([like(classifier, floors, p, t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     ready(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -155,3 +155,15 @@ def test_languages_on_held_out_documents(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 3 == 1)
     assert langid.identify(extra.limit(0)).collect() == []
     assert {r["lang_pred"] for r in langid.identify(extra.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_texts_like_no_learned_language_go(spark):
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(90)) for _ in range(40)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 300")
+    hidden = docs.withColumn("lang", F.expr("nullif(lang, 'fr')"))  # nothing says what French is like
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(hidden.unionByName(more)).select("doc_id")
+    share = {r["lang"]: r["s"] for r in docs.join(kept.withColumn("k", F.lit(1)), "doc_id", "left").groupBy("lang").agg(F.avg(F.coalesce("k", F.lit(0))).alias("s")).collect()}
+    assert kept.where("doc_id < 0").count() == 0
+    assert share["fr"] < 0.05 and min(share[x] for x in ("de", "en", "es")) > 0.98, share
