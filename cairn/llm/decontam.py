@@ -8,8 +8,9 @@ skipped unless the largest scores there of the passage's words add up to the thr
 this is one array operation. In the blocks left, WAND walks the posting lists from pivot to pivot.
 
 All items above the threshold are then verified on words: an item is split into question and answer (its last
-sentence, or its last quarter if it has one sentence), and both must be found, run by run of five words, in the
-document around the passage.
+sentence, or its last quarter if it has one sentence), and both must be found in the document around the
+passage: as words in order, a word put in, left out or replaced counting once, so an edit costs one word of the part.
+A part of two to four words may hold one such edit; a part of one word must be there.
 
 The statistics and the index cover all items. Items are taken in chunks of a bounded number of words, each of
 which is one pass over the documents; a benchmark that is larger makes more passes, not a larger index.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import ready
 
 K1, B = 1.2, 0.75
-#: Least score (of an item's own), least share of runs of words of the question and of the answer.
-SCORE, OVERLAP, RUN = 0.7, 0.8, 5
+#: Least score (of an item's own), least share of words of the question and of the answer that stand in order.
+SCORE, OVERLAP = 0.7, 0.8
 #: Items in a block at least, blocks at most; words of items in one index, and so the most that is sent to the executors.
 BLOCK, MOST_BLOCKS, INDEX_WORDS = 8, 256, 500_000
 WORD = re.compile(r"[^\W_]+")
@@ -58,20 +59,37 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def runs_of(words: list[str], k: int = RUN) -> set[tuple[str, ...]]:
-    """Runs of k words; the whole sequence if it is shorter."""
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
+def edits(part: list[str], text: list[str]) -> int:
+    """The fewest words put in, left out or replaced that turn the part into some run of the text's words."""
+    place = {w: k for k, w in enumerate(dict.fromkeys(part))}
+    terms = np.array([place.get(w, -1) for w in text], np.int32)
+    at = np.arange(len(text) + 1, dtype=np.int32)
+    row = np.zeros(len(text) + 1, np.int32)  # a run may begin anywhere
+    for k, w in enumerate(part, 1):
+        new = np.empty_like(row)
+        new[0] = k
+        np.minimum(row[:-1] + (terms != place[w]), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
-def overlap(part: list[str], found: set[tuple[str, ...]], text: list[str]) -> float:
-    """The share of the part's runs that the text has; 1 for an empty part."""
+def overlap(part: list[str], text: list[str], share: float) -> float:
+    """The share of the part's words that the text has in order; 1 for an empty part, 0 if too few words are common."""
     if not part:
         return 1.0
-    runs = runs_of(part)
-    if len(part) < RUN:
-        k = len(part)
-        return float(any(text[i : i + k] == part for i in range(len(text) - k + 1)))
-    return len(runs & found) / len(runs)
+    held, there = Counter(part), set(text)
+    if sum(n for w, n in held.items() if w in there) < len(part) - allowed(len(part), share):
+        return 0.0
+    return 1 - edits(part, text) / len(part)
+
+
+def allowed(n: int, share: float) -> int:
+    """Edits that a part of n words may hold."""
+    return max(int(n > 1), int(n * (1 - share) + 1e-9))
+
+
+def is_held(part: list[str], got: float, share: float) -> bool:
+    return round((1 - got) * len(part)) <= allowed(len(part), share)
 
 
 class Index:
@@ -193,14 +211,16 @@ class Finder:
             for start, block in ix.passages(terms):
                 for local, score in ix.search(set(terms[start : start + ix.length].tolist()) - {none}, block):
                     k = ix.ids[local]
-                    if k in best and best[k][2] >= self.share and best[k][3] >= self.share and best[k][1] >= score:
+                    if k in best and best[k][1] >= score:
                         continue
                     around = words[max(0, start - ix.size) : start + ix.length + ix.size]
-                    runs = runs_of(around)
                     question, answer = self.parts[k]
-                    got = (start, score, overlap(question, runs, around), overlap(answer, runs, around))
-                    if got[2] >= self.share and got[3] >= self.share and (k not in best or score > best[k][1]):
-                        best[k] = got
+                    asked = overlap(question, around, self.share)
+                    if not is_held(question, asked, self.share):
+                        continue
+                    answered = overlap(answer, around, self.share)
+                    if is_held(answer, answered, self.share):
+                        best[k] = (start, score, asked, answered)
         return [(self.names[k], *v) for k, v in sorted(best.items())]
 
 

@@ -123,3 +123,34 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
     few = neighbours.search(df.where("vec_id in (0, 1)"), F.col("id") % 20 == 0, success=1.0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 1)]
+
+
+def test_items_with_changed_words_are_found():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist()
+    items = [(r["item_id"], r["text"]) for r in rows if decontam.words_of(r["text"])]
+    words = [decontam.words_of(t) for _, t in items]
+    frequency = Counter(w for ws in words for w in set(ws))
+    finder = decontam.Finder(items, len(items), sum(map(len, words)) / len(words), frequency, decontam.SCORE, decontam.OVERLAP)
+    rnd, tried, found = random.Random(5), Counter(), Counter()
+    for n in (1, 2):
+        for i, text in items * 3:
+            for m in sorted(rnd.sample(list(decontam.WORD.finditer(text)), n), key=lambda m: -m.start()):
+                text = f"{text[: m.start()]}zzqx{text[m.end() :]}"
+            tried[n] += 1
+            found[n] += i in {g[0] for g in finder.find("lead " * 30 + text + " tail" * 30)}
+    assert found[1] >= 0.98 * tried[1] and found[2] >= 0.93 * tried[2], (found, tried)
+
+
+def test_edits_equal_plain_dynamic_programming():
+    rnd = random.Random(6)
+    for _ in range(200):
+        part, text = rnd.choices("abcd", k=rnd.randint(1, 7)), rnd.choices("abcde", k=rnd.randint(0, 12))
+        row = [0] * (len(text) + 1)
+        for w in part:
+            new = [row[0] + 1]
+            for j, x in enumerate(text, 1):
+                new.append(min(row[j - 1] + (w != x), row[j] + 1, new[-1] + 1))
+            row = new
+        assert decontam.edits(part, text) == min(row)
