@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Lines that hold a word of license notices, with their neighbours, are candidate blocks. A block is compressed with
+Lines that hold a key of license notices, with as many words around as the longest template may span, are candidate
+blocks; blocks that meet are one. A block is compressed with
 zstandard alone and with each template as a raw dictionary; templates are ranked by the size that they save. In
 that order a template is confirmed by its exact wording: the words of both are aligned, and it is found if few of
 its words are missing or changed and few are put in; the first one confirmed wins. What is found is cut out, and the rest of the block is tried
@@ -9,13 +10,14 @@ again, so a block may hold several notices.
 Result: a row for each notice found, with its span in code points, the share of the size saved, and the
 differences (none: `exact`). Nulls: null and empty texts hold nothing; a null doc_id stays null. Repeated rows
 are each scanned. Ties of the saving go to the longer template, then to the first by name. A block is cut where it exceeds
-BLOCK_LINES lines or a line LINE_CHARS characters, with an overlap of the longest template. Other columns take no
-part. An empty table gives an empty result.
+BLOCK_LINES lines (and three times the longest template) or a line LINE_CHARS characters, with an overlap of the longest
+template; of spans that overlap, found on either side of a cut, the longest stands. Other columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -66,8 +68,11 @@ KEYS = ["licen", "copyright", "rights reserved", "permission", "warrant", "redis
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 #: Most words of a template that may be missing or changed, or put in, by share.
 MISSING, EXTRA = 0.1, 0.1
-#: Lines beside a hit that belong to its block; lines of a block and characters of a line that are taken at once.
-BESIDE, BLOCK_LINES, LINE_CHARS = 1, 60, 20_000
+#: A key may be parted by a line's end and what a comment's lines begin with.
+KEY = re.compile("|".join(re.escape(k).replace("\\ ", r"[\W_]+") for k in KEYS), re.IGNORECASE)
+FIRST = [k.split()[0] for k in KEYS]
+#: Lines of a block and characters of a line that are taken at once.
+BLOCK_LINES, LINE_CHARS = 60, 20_000
 FOUND = "doc_id long, license string, span_start int, span_end int, saved double, missing int, extra int, exact boolean"
 
 
@@ -87,10 +92,14 @@ class Scanner:
                 self.known.append((name, WORD.findall(text.lower()), with_it))
         self.counts = [Counter(w) for _, w, _ in self.known]
         self.reach = max(sum(map(len, w)) + 2 * len(w) for _, w, _ in self.known)
+        longest = max(len(w) for _, w, _ in self.known)
+        self.span = longest + int(EXTRA * longest) + 1
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Spans of lines with a key word and their neighbours, no longer than allowed, overlapping by a template."""
-        if not any(k in text or k.capitalize() in text or k.upper() in text for k in KEYS) and not any(k in text.lower() for k in KEYS):
+        """Spans of lines around keys, a template's words to either side, no longer than allowed, overlapping by a template."""
+        low = text.lower()
+        keys = [m.start() for m in KEY.finditer(low if len(low) == len(text) else text)] if any(k in low for k in FIRST) else []
+        if not keys:
             return
         spans, at = [], 0
         for line in text.split("\n"):
@@ -98,13 +107,44 @@ class Scanner:
             for lo in range(at, max(end, at + 1), LINE_CHARS):
                 spans.append((lo, min(end, lo + LINE_CHARS + self.reach)))
             at = end + 1
-        hits = [i for i, (a, b) in enumerate(spans) if any(k in text[a:b].lower() for k in KEYS)]
-        group: list[int] = []
-        for i in hits + [10**12]:
-            if group and (i > group[-1] + 2 * BESIDE + 1 or i - group[0] >= BLOCK_LINES):
-                yield spans[max(0, group[0] - BESIDE)][0], max(b for _, b in spans[group[0] : group[-1] + BESIDE + 1])
-                group = group[-2:] if i < 10**12 and i <= group[-1] + 2 * BESIDE + 1 else []
-            group.append(i)
+        begins = [a for a, _ in spans]
+        # a key near the end of a cut line's piece lies in the next one too
+        hits = sorted({i for k in keys for i in [bisect_right(begins, k) - 1] for i in ([i - 1, i] if i and spans[i - 1][1] > k else [i])})
+        sizes: dict[int, int] = {}
+
+        def size(i: int) -> int:
+            if i not in sizes:
+                sizes[i] = len(WORD.findall(text, *spans[i]))
+            return sizes[i]
+
+        def away(i: int, step: int, until: int) -> int:
+            """The line up to which a template's words go from line i."""
+            words = 0
+            while i != until and words < self.span:
+                i += step
+                words += size(i)
+            return i
+
+        around: list[list[int]] = []
+        for i in hits:
+            if around and i <= around[-1][1]:
+                if i > around[-1][2]:
+                    around[-1][1:] = [max(around[-1][1], away(i, 1, len(spans) - 1)), i]
+                continue
+            first, last = away(i, -1, 0), away(i, 1, len(spans) - 1)
+            if around and first <= around[-1][1]:
+                around[-1][1:] = [last, i]
+            else:
+                around.append([first, last, i])
+        for first, last, _ in around:
+            start, words = first, 0
+            for i in range(first, last + 1):
+                words += size(i)
+                if i == last or (i - start + 1 >= BLOCK_LINES and words >= 3 * self.span):
+                    yield spans[start][0], max(b for _, b in spans[start : i + 1])
+                    if i < last:
+                        back = max(start + 1, i - 1)
+                        start, words = back, sum(size(j) for j in range(back, i + 1))
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """All templates by the share of the block's compressed size that they save (a short block may save nothing)."""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -154,3 +155,13 @@ def test_edits_equal_plain_dynamic_programming():
                 new.append(min(row[j - 1] + (w != x), row[j] + 1, new[-1] + 1))
             row = new
         assert decontam.edits(part, text) == min(row)
+
+
+@pytest.mark.parametrize("gap", ["\n", "\n\n"])
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_wrapped_notices_are_found(scanner, prefix, gap):
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            lines = textwrap.wrap(t, 80 - len(prefix), break_on_hyphens=False, break_long_words=False)
+            text = "Some text before.\n" + gap.join(prefix + x for x in lines) + "\nAnd others behind it, of no such kind."
+            assert [(g[0], g[4], g[5]) for g in scanner.scan(text)] == [(name, 0, 0)], (name, t)
