@@ -143,7 +143,7 @@ class Scanner:
                 if i == last or (i - start + 1 >= BLOCK_LINES and words >= 3 * self.span):
                     yield spans[start][0], max(b for _, b in spans[start : i + 1])
                     if i < last:
-                        back = max(start + 1, i - 1)
+                        back = away(i + 1, -1, start)
                         start, words = back, sum(size(j) for j in range(back, i + 1))
 
     def rank(self, block: str) -> list[tuple[float, int]]:
@@ -190,11 +190,16 @@ class Scanner:
         return sorted(out, key=lambda x: x[1])
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float, int, int]]:
-        found = {}
-        for a, b in self.blocks(text) if text else ():
-            for name, lo, hi, saved, missing, extra in self.scan_block(text[a:b]):
-                found.setdefault((a + lo, a + hi, name), (name, a + lo, a + hi, saved, missing, extra))
-        return [found[k] for k in sorted(found)]
+        found = [(n, a + lo, a + hi, *rest) for a, b in (self.blocks(text) if text else ()) for n, lo, hi, *rest in self.scan_block(text[a:b])]
+        # within a block no two overlap; across a cut the longer is the whole notice
+        kept: list[tuple[int, int]] = []
+        out = []
+        for f in sorted(found, key=lambda f: (f[1] - f[2], f[1], f[0])):
+            at = bisect_right(kept, (f[1], f[1]))
+            if (at == 0 or kept[at - 1][1] <= f[1]) and (at == len(kept) or kept[at][0] >= f[2]):
+                kept.insert(at, (f[1], f[2]))
+                out.append(f)
+        return sorted(out, key=lambda f: (f[1], f[2], f[0]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

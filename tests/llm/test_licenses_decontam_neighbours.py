@@ -165,3 +165,13 @@ def test_wrapped_notices_are_found(scanner, prefix, gap):
             lines = textwrap.wrap(t, 80 - len(prefix), break_on_hyphens=False, break_long_words=False)
             text = "Some text before.\n" + gap.join(prefix + x for x in lines) + "\nAnd others behind it, of no such kind."
             assert [(g[0], g[4], g[5]) for g in scanner.scan(text)] == [(name, 0, 0)], (name, t)
+
+
+def test_adjoining_notices_are_whole_across_cuts(scanner):
+    apache = licenses.TEMPLATES["Apache-2.0"][1]
+    for width in (60, 80):
+        notice = "\n".join(textwrap.wrap(apache, width, break_on_hyphens=False))
+        text = "\n\n".join(f"component {k}\n{notice}" for k in range(60))
+        got = scanner.scan(text)
+        assert [(g[0], g[4], g[5]) for g in got] == [("Apache-2.0", 0, 0)] * 60
+        assert all(text[g[1] : g[2]].split() == notice.rstrip(".").split() for g in got)
