@@ -66,6 +66,12 @@ def union_padded(spark, d):
     return table(spark, d, "labels").unionByName(docs, allowMissingColumns=True)
 
 
+@query()
+def union_padded_all(spark, d):
+    """The same with every document."""
+    return table(spark, d, "labels").unionByName(table(spark, d, "documents").select("doc_id"), allowMissingColumns=True)
+
+
 @query("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
 def topk_pairs(spark, d):
     return table(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(25).select("event_id", "user_id", "value")

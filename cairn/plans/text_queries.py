@@ -89,8 +89,18 @@ def json_props_extract(spark, d):
 
 @query("SELECT event_id, 'note ' || event_id AS before, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
 def last_json_object(spark, d):
+    return _last_objects(table(spark, d, "events").where("event_id % 10 = 0"))
+
+
+@query()
+def last_json_object_all(spark, d):
+    """The same of every event."""
+    return _last_objects(table(spark, d, "events"))
+
+
+def _last_objects(events):
     said = F.concat(F.lit("note "), F.col("event_id").cast("string"), F.lit(" {bad} "), F.col("props"), F.lit(" end"))
-    rows = table(spark, d, "events").where("event_id % 10 = 0").select("event_id", said.alias("t"))
+    rows = events.select("event_id", said.alias("t"))
     found = rows.select("event_id", F.trim(F.split_part("t", F.lit("{"), F.lit(1))).alias("before"), jsonx.object_udf("last")("t").alias("j"))
     return found.select("event_id", "before", F.get_json_object("j", "$.k").cast("long").alias("k"))
 
@@ -303,7 +313,7 @@ def principal_components(spark, d):
 
 @query()
 def reputation_recurrence(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 50 = 0").select("o_custkey", F.struct("o_orderdate", "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("x")).alias("t"))
+    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("x")).alias("t"))
     folded = labels.reputation(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]))
     return o.groupBy("o_custkey").agg(folded.alias("reputation")).select("o_custkey", r6("reputation").alias("reputation"))
 
