@@ -18,9 +18,19 @@ _SLOTS = "s AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:4] AS v, LAG(CAST(e
   round(CASE WHEN b IS NULL THEN 0.0 WHEN c IS NULL THEN list_sum(v) - list_sum(b) ELSE list_sum(v) - (list_sum(b) + list_sum(c)) / 2 END, 6) + 0.0 AS delta_mean FROM s"""
 )
 def activation_variants(spark, d):
+    return _variants(table(spark, d, "embeddings"), F.slice("embedding", 1, 4))
+
+
+@query()
+def activation_variants_all(spark, d):
+    """The same over all components."""
+    return _variants(table(spark, d, "embeddings").where("embedding IS NOT NULL"), F.col("embedding"))
+
+
+def _variants(embeddings, places):
     w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-2, 0)
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    rows = table(spark, d, "embeddings").select("vec_id", "label", v.alias("v")).withColumn("slots", F.reverse(F.collect_list("v").over(w)))
+    v = F.transform(places, lambda x: x.cast("double"))
+    rows = embeddings.select("vec_id", "label", v.alias("v")).withColumn("slots", F.reverse(F.collect_list("v").over(w)))
     filled = F.transform("slots", lambda s: F.lit(True))
     total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
     return rows.select("vec_id", *[total(details.vector_variant(F.col("slots"), filled, k)).alias(k) for k in ("final", "delta_last", "delta_mean")])

@@ -69,6 +69,12 @@ def sentence_counts(spark, d):
     return plain.select("doc_id", text.count_sentences(F.col("text")).cast("long").alias("sentences"))
 
 
+@query()
+def sentence_counts_all(spark, d):
+    """The same of every text."""
+    return _docs(spark, d).select("doc_id", text.count_sentences(F.col("text")).cast("long").alias("sentences"))
+
+
 @query()
 def sentence_unnest(spark, d):
     """Sentences of every document with their spans; the spans give the text back."""
@@ -82,6 +88,12 @@ def lossy_runs(spark, d):
     return plain.select("doc_id", text.longest_run(F.col("text")).cast("long").alias("longest"))
 
 
+@query()
+def lossy_runs_all(spark, d):
+    """The same of every text."""
+    return _docs(spark, d).select("doc_id", text.longest_run(F.col("text")).cast("long").alias("longest"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -303,11 +315,13 @@ def transfer_one_out(spark, d):
 
 @query()
 def principal_components(spark, d):
-    """Four components of the embeddings' first sixteen places, fitted on the even vectors."""
+    """Four components of the embeddings, fitted on the even vectors."""
     from pyspark.ml.functions import vector_to_array
 
-    e = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
-    model = models.reduced(e.where("vec_id % 2 = 0"), [f"x{i}" for i in range(16)], 4)
+    e = table(spark, d, "embeddings").where("embedding is not null")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(size)])
+    model = models.reduced(e.where("vec_id % 2 = 0"), [f"x{i}" for i in range(size)], 4)
     return model.transform(e).select("vec_id", vector_to_array("features").alias("features"))
 
 

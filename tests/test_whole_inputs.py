@@ -1,8 +1,10 @@
 """Queries over whole inputs, against plain Python."""
 
 import json
+import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -42,3 +44,30 @@ def test_last_object_of_every_event(spark):
 def test_union_with_every_document(spark):
     want = [(r["doc_id"], r["quality"], r["toxic"]) for r in rows("labels")] + [(r["doc_id"], None, None) for r in rows("documents")]
     assert sorted(map(repr, map(tuple, run(spark, "union_padded_all")))) == sorted(map(repr, want))
+
+
+def test_sentences_and_runs_of_every_text(spark):
+    texts = {r["doc_id"]: r["text"] for r in rows("documents") if r["text"] is not None}
+    got = {r["doc_id"]: r["longest"] for r in run(spark, "lossy_runs_all")}
+    assert got == {k: max(map(len, re.split(r"[ \t\n\v\f\r]+", t))) for k, t in texts.items()}
+    told = {r["doc_id"]: r["sentences"] for r in run(spark, "sentence_counts_all")}
+    joined = {k: re.sub(r"[ \t\n\v\f\r]+", " ", t).strip(" ") for k, t in texts.items()}
+    assert told == {k: sum(x != "" for x in re.split(r"(?<=[.!?]) +", t)) for k, t in joined.items()}
+
+
+def test_all_places_of_embeddings(spark):
+    e = sorted((r for r in rows("embeddings") if r["embedding"] is not None), key=lambda r: r["vec_id"])
+    before, want = defaultdict(list), {}
+    for r in e:
+        own, old = sum(map(float, r["embedding"])), before[r["label"]][-2:]
+        want[r["vec_id"]] = (own, own - old[-1] if old else 0.0, own - sum(old) / len(old) if old else 0.0)
+        before[r["label"]].append(own)
+    got = {r["vec_id"]: (r["final"], r["delta_last"], r["delta_mean"]) for r in run(spark, "activation_variants_all")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+    x, even = np.array([r["embedding"] for r in e], float), np.array([r["vec_id"] % 2 == 0 for r in e])
+    z = (x - x[even].mean(axis=0)) / x[even].std(axis=0, ddof=1)
+    _, axes = np.linalg.eigh(np.cov(z[even].T))
+    parts = {r["vec_id"]: r["features"] for r in run(spark, "principal_components")}
+    made = np.abs(np.array([parts[r["vec_id"]] for r in e]))
+    assert np.allclose(made, np.abs(z @ axes[:, ::-1][:, :4]), atol=1e-4)
