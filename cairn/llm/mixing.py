@@ -9,7 +9,7 @@ Prefix sums are taken by hash cell (within a source) and by time cell (over all)
 or the whole order: a small table of cell sums gives each cell its offset.
 
 Nulls: a null text has no words; a null source is a source, the last. Repeated rows are queued one after the
-other; ties of the shuffle are broken by doc_id and size, and rows equal in these are interchangeable.
+other; ties of the shuffle are broken by doc_id and size; rows equal in these have places of their own, dealt among them.
 Other columns take no part. An empty table gives an empty result.
 """
 
@@ -126,21 +126,18 @@ def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: rows of docs with all their columns, as often as taken, sorted by virtual finish time."""
-    names = {k: fresh(docs.columns, k) for k in ("mix_id", "mix_source", "mix_size", "mix_epochs", "mix_finish")}
+    names = {k: fresh(docs.columns, k) for k in ("mix_key", "mix_rank", "mix_fates", "mix_finish", "mix_id")}
+    key = lambda i, s, size: F.struct(i.alias("id"), s.alias("source"), size.alias("size")).alias(names["mix_key"])
     plan = plan_mix(docs, seed)
-    # rows equal in these three share their fate, so one of them stands for all
-    fate = plan.select(
-        F.col("doc_id").alias(names["mix_id"]),
-        F.col("source").alias(names["mix_source"]),
-        F.col("size").alias(names["mix_size"]),
-        F.transform("epochs", lambda e: _finish(e)).alias(names["mix_epochs"]),
-    ).dropDuplicates([names["mix_id"], names["mix_source"], names["mix_size"]])
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col(names["mix_id"]))
-        & F.col("source").cast("string").eqNullSafe(F.col(names["mix_source"]))
-        & (word_count(F.col("text")) == F.col(names["mix_size"]))
+    # rows equal in these three have fates of their own: the k-th of them has the k-th fate
+    fates = plan.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size"))).agg(
+        F.array_sort(F.collect_list(F.transform("epochs", lambda e: _finish(e)))).alias(names["mix_fates"])
     )
-    taken = docs.join(fate, same).withColumn(names["mix_finish"], F.explode(names["mix_epochs"]))
+    keyed = docs.select("*", key(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text"))))
+    ranks = Window.partitionBy(names["mix_key"]).orderBy(F.xxhash64("text"))
+    ranked = keyed.withColumn(names["mix_rank"], F.row_number().over(ranks))
+    finish = F.explode(F.element_at(F.col(names["mix_fates"]), F.col(names["mix_rank"])))
+    taken = ranked.join(fates, names["mix_key"]).withColumn(names["mix_finish"], finish).withColumn(names["mix_id"], F.col(names["mix_key"])["id"])
     return taken.orderBy(names["mix_finish"], names["mix_id"]).select(*docs.columns)
 
 

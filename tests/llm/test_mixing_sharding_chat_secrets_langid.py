@@ -167,3 +167,15 @@ def test_texts_like_no_learned_language_go(spark):
     share = {r["lang"]: r["s"] for r in docs.join(kept.withColumn("k", F.lit(1)), "doc_id", "left").groupBy("lang").agg(F.avg(F.coalesce("k", F.lit(0))).alias("s")).collect()}
     assert kept.where("doc_id < 0").count() == 0
     assert share["fr"] < 0.05 and min(share[x] for x in ("de", "en", "es")) > 0.98, share
+
+
+def test_repeated_rows_have_fates_of_their_own(spark):
+    rows = [(None, "one two three " * 5, "en", "s1", k) for k in range(30)] + [(5, "four five " * 8, "en", "s0", k) for k in range(20)] + [(i, "six " * (i % 9), "en", f"s{i % 3}", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    words = lambda rs: Counter((r["doc_id"], r["source"]) for r in rs)
+    plan = mixing.plan_mix(docs).collect()
+    want = Counter()
+    for r in plan:
+        want[(r["doc_id"], r["source"])] += len(r["epochs"])
+    assert len({tuple(r["epochs"]) for r in plan if r["doc_id"] is None}) > 1 or len({tuple(r["epochs"]) for r in plan if r["doc_id"] == 5}) > 1
+    assert words(mixing.mixed_rows(docs).collect()) == +want
