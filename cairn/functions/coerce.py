@@ -56,7 +56,7 @@ def first_text(*columns: Column) -> Column:
 def optional_int(value: Column) -> Column:
     """A number as text, with thousands commas or inside other text, cut toward zero; booleans and none-words are NULL."""
     s = F.regexp_replace(F.lower(F.trim(value.cast("string"))), ",", "")
-    number = F.coalesce(F.expr("try_cast(null as double)"), s.try_cast("double"), F.regexp_extract(s, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))
+    number = F.coalesce(s.try_cast("double"), F.regexp_extract(s, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))
     cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
     return F.when(s.isin("true", "false", "none", "null", "na", "n/a", "nan", ""), F.lit(None).cast("long")).otherwise(cut)
 

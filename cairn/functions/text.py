@@ -9,9 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Abbreviations that don't end a sentence (the last word before the stop, lower case).
-ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "no"]
-_STOP, _CLOSE, _BLANK, _LAST_WORD = re.compile("[.!?]"), re.compile("[.!?\"')\\]}]*"), re.compile("\\s*"), re.compile("([A-Za-z]+)$")
+#: Abbreviations that don't end a sentence (the word before the stop, lower case), and what closes one.
+ABBREVIATIONS = ["dr", "etc", "fig", "jr", "mr", "mrs", "ms", "prof", "sr", "st", "vs"]
+CLOSERS = "\"')}]"
+_STOP, _CLOSE, _BLANK, _LAST_WORD = re.compile("[.!?]"), re.compile(f"[{re.escape(CLOSERS)}]*"), re.compile("\\s*"), re.compile("[^\\W\\d_]+$")
+#: Fixed value: a sentence of a reasoning that is cut before its end.
+CUT_SENTENCE = "[^.!?\\n]+[.!?]+[\"')\\]]*|\\S[^.!?\\n]*$"
 
 
 def blank_runs_to_space(c: Column) -> Column:
@@ -19,8 +22,8 @@ def blank_runs_to_space(c: Column) -> Column:
 
 
 def sentence_spans(text: str | None, abbreviations: frozenset[str] = frozenset(ABBREVIATIONS)) -> list[tuple[int, int]]:
-    """Spans of sentences: they end at . ! ?, not in decimals nor behind abbreviations, with closing quotes and
-    brackets; white space between them is in none."""
+    """Spans of sentences: each . ! ? ends one, but in decimals and behind abbreviations, with the closing quotes and
+    brackets behind it; white space between them is in none."""
     if not text:
         return []
     spans, n = [], len(text)
@@ -31,7 +34,7 @@ def sentence_spans(text: str | None, abbreviations: frozenset[str] = frozenset(A
             if 0 < stop.start() < n - 1 and text[stop.start() - 1].isdigit() and text[at].isdigit():
                 continue
             word = _LAST_WORD.search(text[max(0, stop.start() - 12) : stop.start()])
-            if word and word[1].lower() in abbreviations:
+            if word and word[0].lower() in abbreviations:
                 continue
         at = _CLOSE.match(text, at).end()
         spans.append((start, at))
@@ -45,13 +48,19 @@ def sentence_spans(text: str | None, abbreviations: frozenset[str] = frozenset(A
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
+@F.pandas_udf(T.ArrayType(T.StructType(SPAN.fields[:2])))
+def spans_udf(texts: pd.Series) -> pd.Series:
+    """Spans alone: the text need not travel with each of its sentences."""
+    return texts.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t)])
+
+
 @F.pandas_udf(T.ArrayType(SPAN))
 def sentences_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in sentence_spans(t)] if t else [])
 
 
 def count_sentences(c: Column) -> Column:
-    parts = F.split(F.trim(blank_runs_to_space(c)), "(?<=[.!?])\\s+")
+    parts = F.split(F.trim(blank_runs_to_space(c)), "(?<=[.!?]) ")
     return F.size(F.filter(parts, lambda x: x != ""))
 
 
@@ -128,7 +137,7 @@ def slice_chars(c: Column, start: Column, end: Column) -> Column:
 
 def longest_run(c: Column) -> Column:
     """Characters of the longest run without white space."""
-    return F.coalesce(F.array_max(F.transform(F.split(c, "\\s+"), F.length)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(F.split(c, "(?U)\\s+"), F.length)), F.lit(0))
 
 
 def is_lossy(c: Column, limit: int = 40) -> Column:
@@ -196,19 +205,26 @@ def repair_bytes_udf(texts: pd.Series) -> pd.Series:
     return texts.map(repair_bytes)
 
 
-def cut_before_last(text: str | None, n: int = 2, least_text: int = 120, least_head: int = 80, least_tail: int = 30) -> str | None:
-    """Reasoning without its last n sentences; NULL where the text, what is left or what goes is too short."""
-    spans = sentence_spans(text)
-    if not text or len(text) < least_text or len(spans) <= n:
+_CUT = re.compile(CUT_SENTENCE)
+
+
+def cut_before_last(text: str | None, n: int = 2, least_text: int = 120, least_head: int = 80, least_tail: int = 30) -> tuple[str, str] | None:
+    """The sentences of the reasoning (up to its end mark) without the last n, and these; NULL where the reasoning or
+    either part is too short, or where fewer than two sentences would be left."""
+    whole, mark, _ = (text or "").partition("</think>")
+    reasoning = whole if whole else (text or "")
+    if len(reasoning.strip()) < least_text:
+        return None
+    said = [m[0] for m in _CUT.finditer(reasoning)]
+    if len(said) < n + 2:
         return None
-    at = spans[-n][0]
-    head, tail = text[:at].rstrip(), text[at:]
-    return head if len(head) >= least_head and len(tail) >= least_tail else None
+    head, tail = "".join(said[:-n]), "".join(said[-n:])
+    return (head, tail) if len(head.strip()) >= least_head and len(tail.strip()) >= least_tail else None
 
 
-@F.pandas_udf(T.StringType())
-def cut_before_last_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(cut_before_last)
+@F.pandas_udf(T.StructType([T.StructField("head", T.StringType()), T.StructField("tail", T.StringType())]))
+def cut_before_last_udf(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([cut_before_last(t) or (None, None) for t in texts], columns=["head", "tail"])
 
 
 def feature_root(c: Column) -> Column:

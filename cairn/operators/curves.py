@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import bounded_change, deception_rate
+from ..functions.intervals import bounded_change, deception_rate, mean_ci
 
 JUMP = 0.30
 
@@ -59,10 +59,12 @@ def commitment_targets(steps: DataFrame, least: float) -> DataFrame:
 
 
 def sharpest_step(steps: DataFrame) -> DataFrame:
-    """The largest change between adjacent boundaries of each trace, the first of equal ones; 0 where there is none."""
-    size = F.when(F.col("gap") == 1, F.struct(F.abs(F.col("delta")).alias("size"), (-F.col("i")).alias("first")))
+    """The largest change between adjacent boundaries of each trace, with its sign, the first of equal ones; 0 and no
+    boundary where there is none."""
+    size = F.when((F.col("gap") == 1) & (F.col("delta") != 0), F.struct(F.abs(F.col("delta")).alias("size"), (-F.col("i")).alias("first")))
     best = steps.groupBy("trace").agg(F.max_by(F.struct("i", "delta"), size).alias("b"), F.max(size).alias("s"))
-    return best.select("trace", F.coalesce("s.size", F.lit(0.0)).alias("sharpest"), F.when(F.col("s").isNotNull(), F.col("b.i")).alias("sharpest_at"))
+    some = F.col("s").isNotNull()
+    return best.select("trace", F.when(some, F.col("b.delta")).otherwise(F.lit(0.0)).alias("jump"), F.when(some, F.col("b.i")).alias("jump_at"))
 
 
 def first_fall_below(steps: DataFrame, level: float = 0.5) -> DataFrame:
@@ -72,21 +74,24 @@ def first_fall_below(steps: DataFrame, level: float = 0.5) -> DataFrame:
 
 
 def trace_metrics(probes: DataFrame, least: float = JUMP) -> DataFrame:
-    """One row a trace: number of probes, first, last, least, largest and mean rate, swing, sharpest step, juncture, its
-    relative place, and all valid outcomes."""
+    """One row a trace: number of probes; `ns`, its sentences (the column ns where the probes have one, else the last
+    boundary); first, last, least, largest and mean rate; swing (last less first); sharpest step; juncture, direction,
+    signed shift and place in the trace; all valid outcomes."""
     steps = with_steps(clean(probes))
+    length = F.max("ns") if "ns" in probes.columns else F.max("i")
     base = steps.groupBy("trace").agg(
         F.count("*").alias("np"),
+        length.alias("ns"),
         F.min_by("r", "i").alias("r0"),
         F.max_by("r", "i").alias("r1"),
         F.min("r").alias("rmin"),
         F.max("r").alias("rmax"),
         F.avg("r").alias("rmean"),
-        (F.max("r") - F.min("r")).alias("swing"),
+        (F.max_by("r", "i") - F.min_by("r", "i")).alias("swing"),
         F.sum("nv").alias("nv"),
     )
-    out = base.join(sharpest_step(steps), "trace").join(first_juncture(steps, least), "trace", "left")
-    place = F.when(F.col("np") > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("juncture") / (F.col("np") - 1))))
+    out = base.join(sharpest_step(steps), "trace").join(first_juncture(steps, least).withColumnRenamed("jump", "jdelta"), "trace", "left")
+    place = F.when(F.col("ns") != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("juncture") / F.greatest(F.lit(1), F.col("ns") - 1))))
     return out.withColumn("jpos", place)
 
 
@@ -100,28 +105,33 @@ def histogram(values: DataFrame, column: str, low: float, high: float, bins: int
 
 
 def aligned_profile(probes: DataFrame, junctures: DataFrame, span: int = 6) -> DataFrame:
-    """Mean rate at each offset from the traces' junctures, -span to span; offsets without probes have n = 0."""
-    at = probes.join(junctures.select("trace", "juncture"), "trace").withColumn("offset", (F.col("i") - F.col("juncture")).cast("int"))
-    means = at.where(F.col("offset").between(-span, span)).groupBy("offset").agg(F.avg("r").alias("mean_rate"), F.count("*").alias("n"))
+    """Mean rate, with its interval, of the sentences at each offset from the traces' junctures, -span to span; offsets
+    without probes have n = 0. A boundary closes the sentence before it."""
+    at = probes.join(junctures.select("trace", "juncture"), "trace").withColumn("offset", (F.col("i") - 1 - F.col("juncture")).cast("int"))
+    n, mean, low, high = mean_ci(F.col("r"))
+    means = at.where(F.col("offset").between(-span, span)).groupBy("offset").agg(mean.alias("mean_rate"), low.alias("low"), high.alias("high"), n.alias("n"))
     every = probes.sparkSession.range(-span, span + 1).select(F.col("id").cast("int").alias("offset"))
-    return every.join(F.broadcast(means), "offset", "left").select("offset", "mean_rate", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.join(F.broadcast(means), "offset", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def grid_profile(probes: DataFrame, bins: int = 20) -> DataFrame:
-    """Mean over traces of the rate at equal steps from the first to the last boundary, linear between probes.
+    """Mean over traces, with its interval, of the rate at equal steps of boundary from the first to the last, linear
+    between probes; traces of one probe are in none.
 
-    Each probe makes the grid points up to the next one, so no trace is joined with the grid.
+    Each probe makes the grid points behind the one before it and up to it, so no trace is joined with the grid.
     """
     w, whole = by_trace(), Window.partitionBy("trace")
-    sized = clean(probes).withColumns({"k": F.row_number().over(w) - 1, "n": F.count("*").over(whole), "next_r": F.lead("r").over(w)}).where("n >= 2")
-    # grid point g stands at g * (n - 1) / (bins - 1) probes; probe k holds those with k <= place < k + 1
-    last = F.col("n") - 1
-    low = F.ceil(F.col("k") * (bins - 1) / last).cast("int")
-    high = F.when(F.col("k") == last, F.lit(bins - 1)).otherwise(F.ceil((F.col("k") + 1) * (bins - 1) / last).cast("int") - 1)
+    sized = with_steps(clean(probes)).withColumns({"first": F.min("i").over(whole), "last": F.max("i").over(whole), "rank": F.row_number().over(w)}).where("last > first")
+    # grid point g stands at boundary first + g * (last - first) / (bins - 1)
+    width = F.col("last") - F.col("first")
+    upto = lambda i: F.floor((i - F.col("first")) * (bins - 1) / width).cast("int")
+    low = F.when(F.col("rank") == 1, F.lit(0)).otherwise(upto(F.col("prev_i")) + 1)
+    high = upto(F.col("i"))
     points = sized.withColumn("bin", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
-    part = F.col("bin") * last / (bins - 1) - F.col("k")
-    value = F.col("r") + F.coalesce(part * (F.col("next_r") - F.col("r")), F.lit(0.0))
-    return points.withColumn("value", value).groupBy("bin").agg(F.avg("value").alias("mean_rate"), F.count("*").alias("n"))
+    part = (F.col("first") + F.col("bin") * width / (bins - 1) - F.col("prev_i")) / F.col("gap")
+    value = F.when(F.col("rank") == 1, F.col("r")).otherwise(F.col("prev_r") + part * F.col("delta"))
+    n, mean, low_end, high_end = mean_ci(F.col("value"))
+    return points.withColumn("value", value).groupBy("bin").agg(mean.alias("mean_rate"), low_end.alias("low"), high_end.alias("high"), n.alias("n"))
 
 
 def next_probes(probes: DataFrame, order: str = "slope", least_spacing: int = 1) -> DataFrame:
@@ -136,12 +146,12 @@ def next_probes(probes: DataFrame, order: str = "slope", least_spacing: int = 1)
 
 
 def neighbourhood(probes: DataFrame, centres: DataFrame, width: int = 3) -> DataFrame:
-    """The `width` probes around each trace's centre boundary, moved inward at the ends."""
+    """The `width` probes around each trace's centre boundary, moved inward at the ends; none where it wasn't probed."""
     w, whole = by_trace(), Window.partitionBy("trace")
     ranked = probes.withColumns({"k": F.row_number().over(w) - 1, "n": F.count("*").over(whole)})
-    near = ranked.join(centres, "trace").withColumn("c", F.min(F.when(F.col("i") >= F.col("centre"), F.col("k"))).over(whole))
-    first = F.greatest(F.lit(0), F.least(F.coalesce("c", F.col("n") - 1) - width // 2, F.col("n") - width))
-    return near.where((F.col("k") >= first) & (F.col("k") < first + width)).select("trace", "i", "r")
+    near = ranked.join(centres, "trace").withColumn("c", F.min(F.when(F.col("i") == F.col("centre"), F.col("k"))).over(whole))
+    first = F.least(F.greatest(F.col("c") - width // 2, F.lit(0)), F.greatest(F.col("n") - width, F.lit(0)))
+    return near.where(F.col("c").isNotNull() & (F.col("k") >= first) & (F.col("k") < first + width)).select("trace", "i", "r")
 
 
 def transitions(rows: DataFrame, column: str, trace: str = "trace", at: str = "i") -> DataFrame:

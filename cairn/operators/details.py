@@ -27,9 +27,9 @@ def vector_variant(slots: Column, filled: Column, variant: str = "final") -> Col
 
 def tokens_in_span(offsets: Column, start: Column, end: Column) -> Column:
     """Indices of tokens whose midpoint is in [start, end); else of those that overlap it. Offsets are structs (s, e)."""
-    at = F.sequence(F.lit(0), F.size(offsets) - 1)
+    at = F.sequence(F.lit(0), F.greatest(F.size(offsets) - 1, F.lit(0)))
     middle = F.filter(at, lambda i: ((offsets[i]["s"] + offsets[i]["e"]) / 2 >= start) & ((offsets[i]["s"] + offsets[i]["e"]) / 2 < end) & (offsets[i]["e"] > offsets[i]["s"]))
-    over = F.filter(at, lambda i: (offsets[i]["s"] < end) & (offsets[i]["e"] > start))
+    over = F.filter(at, lambda i: (offsets[i]["s"] < end) & (offsets[i]["e"] > start) & (offsets[i]["e"] != offsets[i]["s"]))
     return F.when(F.size(offsets) == 0, F.array().cast("array<int>")).otherwise(F.when(F.size(middle) > 0, middle).otherwise(over))
 
 
@@ -60,7 +60,8 @@ def until_quotas(df: DataFrame, label: str, order: str, targets: dict) -> DataFr
     """
     w = Window.partitionBy(label).orderBy(order)
     wanted = F.coalesce(*[F.when(F.col(label) == k, F.lit(n)) for k, n in targets.items()])
-    met = df.where(F.col(label).isin(list(targets))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") == wanted)
+    first = df.where(F.col(label).isin(list(targets))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(targets.values(), default=0))
+    met = first.where(F.col("_n") == wanted)
     stop = met.agg(F.count("*").alias("_met"), F.max(order).alias("_stop"))
     return df.crossJoin(F.broadcast(stop)).where((F.col("_met") < len(targets)) | (F.col(order) <= F.col("_stop"))).drop("_met", "_stop")
 
@@ -73,9 +74,14 @@ def ledger(df: DataFrame, keys: list[str], order: list[str], amount: str) -> Dat
 
 
 def seen_before(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """The sorted set of a key's values in the rows before each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("seen", F.array_sort(F.collect_set(value).over(w)))
+    """The sorted set of a key's values in the rows before each row.
+
+    A value is in it from the row after its first one: only first rows add anything to the running list.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    again = F.row_number().over(Window.partitionBy(*keys, value).orderBy(*order)) > 1
+    marked = df.withColumn("_new", F.when(~again, F.col(value)))
+    return marked.withColumn("seen", F.array_sort(F.collect_list("_new").over(w.rowsBetween(Window.unboundedPreceding, -1)))).drop("_new")
 
 
 def answer_probability(tokens: Column, answers: dict[str, list[str]]) -> Column:

@@ -13,7 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import ranking
+from ..functions.intervals import finite
+from .metrics import balanced_threshold, confusion, prevalence_threshold, ranking
+from .select import first_per
 
 
 def tfidf(train: DataFrame, apply_to: DataFrame, key: str, text: str, most_terms: int = 20_000) -> DataFrame:
@@ -98,3 +100,81 @@ def transfer(rows: DataFrame, env: str, label: str, columns: list[str], envs: li
         table = table.select(F.lit("+".join(sources)).alias("train"), F.lit(target).alias("test"), "*")
         out = table if out is None else out.unionByName(table)
     return out
+
+
+def evaluate_features(rows: DataFrame, env: str, label: str, columns: list[str], envs: list[str], mode: str = "fixed", threshold: float = 0.5, family: str = "logreg", **parameters) -> tuple[DataFrame, list[tuple[str, str, float]]]:
+    """For each environment a classifier on its rows, judged on these and on every other's: train, test, role, threshold
+    and its metrics; and (train, feature, weight) of each. mode: `fixed`, `train_prevalence_match` or
+    `train_balanced_accuracy`, by the scores of the training rows."""
+    out, learned = None, []
+    for source in envs:
+        assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
+        train = assemble.transform(rows.where(F.col(env) == source))
+        model = fitted(train, label, family, **parameters)
+        learned += [(source, f, w) for f, w in weights(model, columns)]
+        made = scored(model, assemble.transform(rows.where(F.col(env).isin(envs)))).select(F.col(env).alias("test"), label, "score")
+        at = decision_threshold(made.where(F.col("test") == source), label, "score", mode, threshold)
+        cut = F.col("score") >= F.lit(at)
+        table = ranking(made, ["test"], label, "score").join(confusion(made, ["test"], label, cut), "test")
+        role = F.when(F.col("test") == source, "train").otherwise("ood")
+        table = table.select(F.lit(source).alias("train"), "test", role.alias("role"), F.lit(at).alias("threshold"), *[c for c in table.columns if c != "test"])
+        out = table if out is None else out.unionByName(table)
+    return out, learned
+
+
+def decision_threshold(scores: DataFrame, label: str, score: str, mode: str, default: float) -> float:
+    if mode == "fixed":
+        return float(default)
+    if mode == "train_prevalence_match":
+        return float(prevalence_threshold(scores, [], label, score, default).first()["threshold"])
+    if mode == "train_balanced_accuracy":
+        best = balanced_threshold(scores, [], label, score).first()
+        return float(best["threshold"]) if best and best["threshold"] is not None else float(default)
+    raise ValueError(f"unknown mode: {mode}")
+
+
+def transfer_summary(table: DataFrame) -> DataFrame:
+    """Mean, least and deviation of the metrics over other environments, and their mean at home, of a table of
+    `evaluate_features`; NULL and NaN don't count."""
+    out = []
+    for m in ("auroc", "average_precision", "balanced_accuracy"):
+        v = F.when(F.col("role") == "ood", finite(F.col(m)))
+        out += [F.avg(v).alias(f"mean_ood_{m}"), F.min(v).alias(f"min_ood_{m}"), F.stddev_pop(v).alias(f"std_ood_{m}"), F.avg(F.when(F.col("role") == "train", finite(F.col(m)))).alias(f"mean_train_{m}")]
+    return table.agg(*out)
+
+
+def shared_vocabulary(names: DataFrame, env: str, feature: str, place: str, envs: list[str]) -> DataFrame:
+    """feature, at, mode: the features of all environments in the order of the first one; if there are none, those of any,
+    in the order of first sight. `at` counts from 0."""
+    first = F.element_at(F.map_from_arrays(F.array(*map(F.lit, envs)), F.array(*[F.lit(i) for i in range(len(envs))])), F.col(env))
+    known = names.where(F.col(env).isin(envs)).groupBy(feature).agg(F.count_distinct(env).alias("n"), F.min(F.struct(first.alias("e"), F.col(place).alias("p"))).alias("seen"))
+    common = known.agg(F.coalesce(F.count_if(F.col("n") == len(envs)) > 0, F.lit(False)).alias("some"))
+    kept = known.crossJoin(F.broadcast(common)).where(~F.col("some") | (F.col("n") == len(envs)))
+    # a vocabulary: a list of names, not data
+    return kept.select(feature, (F.row_number().over(Window.orderBy("seen")) - 1).alias("at"), F.when(F.col("some"), "intersection").otherwise("union_fallback").alias("mode"))
+
+
+def aligned_rows(weights_: DataFrame, key: str, feature: str, weight: str, vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, indices, values of the wanted keys: their rows over the shared vocabulary; unknown features are left out, and
+    keys without any have empty rows."""
+    placed = weights_.join(vocabulary.select(feature, "at"), feature)
+    entry = F.array_sort(F.collect_list(F.struct("at", F.col(weight).alias("w"))))
+    rows = placed.groupBy(key).agg(entry.alias("_e"))
+    return wanted.select(key).join(rows, key, "left").select(key, F.coalesce(F.col("_e.at"), F.array().cast("array<int>")).alias("indices"), F.coalesce(F.col("_e.w"), F.array().cast("array<double>")).alias("values"))
+
+
+#: Objectives: which of a candidate's numbers decide, the most important first; then few features, then a simple model.
+OBJECTIVES = {
+    "mean_ood_auroc_oracle": ["oracle_mean_ood_auroc", "oracle_mean_ood_average_precision", "source_val_auroc", "source_val_average_precision"],
+    "source_val_auroc": ["source_val_auroc", "source_val_average_precision", "source_val_balanced_accuracy"],
+}
+
+
+def best_candidates(candidates: DataFrame, keys: list[str], objective: str, ties: list[str] = ()) -> DataFrame:
+    """The best candidate of each key; a number that is not finite counts as the worst."""
+    if objective not in OBJECTIVES:
+        raise ValueError(f"unknown objective: {objective}")
+    order = [F.desc_nulls_last(f"_{i}") for i, _ in enumerate(OBJECTIVES[objective])]
+    made = candidates.withColumns({f"_{i}": finite(F.col(c)) for i, c in enumerate(OBJECTIVES[objective])})
+    best = first_per(made, keys, [*order, F.asc("feature_count"), F.asc("candidate_complexity"), *ties])
+    return best.drop(*[f"_{i}" for i, _ in enumerate(order)])

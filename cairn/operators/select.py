@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 def first_per(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataFrame:
     """The first k rows of each key. The rank filter is pushed below the shuffle, so hot keys stay small."""
@@ -18,41 +20,81 @@ def last_per(df: DataFrame, keys: list[str], order: str, columns: list[str]) ->
 
 
 def balance_split(mixed: int, fixed_true: int, fixed_false: int, target_true: int | None = None, target_false: int | None = None) -> int:
-    """How many of the ids with both labels go to true: first as much of both targets as can be, then balance, then most true."""
+    """How many of the ids with both labels go to true.
+
+    Without targets: the most even totals, then nearest to half of the mixed ids. With targets: as much of them as can be
+    covered, then even cover, then even totals. Of equals the least. Every measure is linear between few points, so the
+    best is at one of them or beside it.
+    """
+    targets = target_true is not None or target_false is not None
 
     def key(x: int) -> tuple:
         true, false = fixed_true + x, fixed_false + mixed - x
-        covered = min(true, target_true if target_true is not None else true) + min(false, target_false if target_false is not None else false)
-        return covered, -abs(true - false), -x
+        if not targets:
+            return -abs(true - false), min(true, false), -abs(x - mixed // 2)
+        here, there = (min(n, t) if t is not None else n for n, t in ((true, target_true), (false, target_false)))
+        return here + there, -abs(here - there), -abs(true - false)
 
-    return max(range(mixed + 1), key=key)
+    goal_true, goal_false = (n if n is not None else 0 for n in (target_true, target_false))
+    turns = [0, mixed, mixed // 2, (mixed + fixed_false - fixed_true) // 2]  # the ends, the middle, even totals
+    turns += [goal_true - fixed_true, fixed_false + mixed - goal_false]  # a target is met
+    turns += [goal_false - fixed_true, fixed_false + mixed - goal_true]  # what is covered is even
+    some = sorted({min(mixed, max(0, t + step)) for t in turns for step in (-1, 0, 1)})
+    return max(some, key=lambda x: (key(x), -x))
 
 
 def balanced_labels(df: DataFrame, key: str, label: str, order: list, **targets) -> DataFrame:
     """One row for each key: the first of its label; keys with both labels are assigned so that labels balance.
 
-    Only the three counts reach the driver. Keys with both labels are ranked by key: the first x become true.
+    Only the three counts reach the driver. Of the keys with both labels the first x, in the order in which keys are
+    first seen, become true.
     """
-    firsts = first_per(df.where(F.col(label).isNotNull()), [key, label], order)
-    seen = firsts.groupBy(key).agg(F.bool_or(label).alias("has_true"), F.bool_and(label).alias("all_true"))
-    kinds = seen.select(key, F.when(F.col("all_true"), "true").when(~F.col("has_true"), "false").otherwise("mixed").alias("kind"))
+    labelled = df.where(F.col(label).isNotNull())
+    firsts = first_per(labelled, [key, label], order)
+    kinds = firsts.groupBy(key).agg(F.bool_or(label).alias("has_true"), F.bool_and(label).alias("all_true"))
+    kinds = kinds.select(key, F.when(F.col("all_true"), "true").when(~F.col("has_true"), "false").otherwise("mixed").alias("kind"))
     counts = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
     x = balance_split(counts.get("mixed", 0), counts.get("true", 0), counts.get("false", 0), **targets)
-    mixed = kinds.where("kind = 'mixed'").withColumn("want", numbered(key) < x)
-    chosen = kinds.where("kind <> 'mixed'").select(key, (F.col("kind") == "true").alias("want")).unionByName(mixed.select(key, "want"))
+    seen = first_per(df.join(kinds.where("kind = 'mixed'").select(key), key, "left_semi"), [key], order)
+    mixed = placed(seen, order, "_seen").select(key, (F.col("_seen") < x).alias("want"))
+    chosen = kinds.where("kind <> 'mixed'").select(key, (F.col("kind") == "true").alias("want")).unionByName(mixed)
     return firsts.join(chosen, key).where(F.col(label) == F.col("want")).drop("want")
 
 
+def dedup_statistics(df: DataFrame, key: str, label: str) -> DataFrame:
+    """One row: rows dropped as duplicates of a key, keys with several rows, and keys with both labels."""
+    per = df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
+    return per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.count_if(F.col("labels") > 1).alias("conflicting_groups"))
+
+
+def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+    """With the place of each row, from 0, in one order of the whole table, whatever its size: rows are range-partitioned
+    and sorted, numbered within their partition, and partitions offset by the sizes of those before them."""
+    part, at = f"{name}_part", f"{name}_at"
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered_ = sorted_.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    path = shared.path(df.sparkSession, "placed")  # ranges are sampled: written once, so that sizes and rows agree
+    numbered_.write.parquet(path)
+    rows = df.sparkSession.read.schema(numbered_.schema).parquet(path)
+    sizes = rows.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select(part, before.alias("_before"))), part).withColumn(name, F.col("_before") + F.col(at)).drop(part, at, "_before")
+
+
 def numbered(*order) -> Column:
     """Place of each row, from 0, in one order of the whole table: for catalogues and lists of keys, in one task."""
     return F.row_number().over(Window.orderBy(*order)) - 1
 
 
 def quota(df: DataFrame, label: str, order: list, per_label: dict, total: int | None = None) -> DataFrame:
-    """Up to a quota of rows for each label, in order; nothing behind the row that meets the last quota, nor `total` rows."""
+    """Up to a quota of rows for each label, in order; nothing behind the row that meets the last quota, nor `total` rows.
+
+    The largest quota is a plain limit on ranks, which Spark applies before the shuffle too.
+    """
     w = Window.partitionBy(label).orderBy(*order)
     limit = F.coalesce(*[F.when(F.col(label) == k, F.lit(n)) for k, n in per_label.items()])
-    kept = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    most = df.where(F.col(label).isin(list(per_label))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(per_label.values(), default=0))
+    kept = most.where(F.col("_n") <= limit).drop("_n")
     return kept.orderBy(*order).limit(total) if total is not None else kept
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import rate, wilson
+from ..functions.intervals import bracket, finite, rate, wilson
 
 
 def outcome_counts(samples: DataFrame, keys: list[str], valid: Column, deceptive: Column) -> DataFrame:
@@ -70,18 +68,24 @@ def paired_effect(pairs: DataFrame, keys: list[str], arms: tuple[str, str]) -> D
 
 
 def bootstrap_interval(rows: list[tuple[float, float, float, float]], draws: int = 2000, seed: int = 0) -> tuple[float | None, float | None]:
-    """2.5 % and 97.5 % order statistics of the difference of ratios of sums over units drawn with replacement."""
+    """2.5 % and 97.5 % order statistics of the difference of ratios of sums over units drawn with replacement.
+
+    A draw is how often each unit is taken: multinomial counts, a few draws at once whatever the number of units.
+    """
     if len(rows) < 2:
         return None, None
-    rng, out, n = random.Random(seed), [], len(rows)
-    for _ in range(draws):
-        v0, d0, v1, d1 = (sum(x) for x in zip(*[rows[rng.randrange(n)] for _ in range(n)], strict=True))
-        if v0 and v1:
-            out.append(d1 / v1 - d0 / v0)
-    if len(out) < 100:
+    rng, out, x = np.random.default_rng(seed), [], np.array(rows, float)
+    n = len(x)
+    step = max(1, min(draws, 2_000_000 // n))
+    for lo in range(0, draws, step):
+        times = rng.multinomial(n, np.full(n, 1 / n), size=min(step, draws - lo))
+        v0, d0, v1, d1 = (times @ x).T
+        both = (v0 != 0) & (v1 != 0)
+        out.append(d1[both] / v1[both] - d0[both] / v0[both])
+    made = np.sort(np.concatenate(out))
+    if len(made) < 100:
         return None, None
-    out.sort()
-    return out[int(0.025 * len(out))], out[int(0.975 * len(out))]
+    return float(made[int(0.025 * len(made))]), float(made[int(0.975 * len(made))])
 
 
 def paired_bootstrap(pairs: DataFrame, key: str, unit: str, arms: tuple[str, str], draws: int = 2000, seed: int = 0) -> DataFrame:
@@ -127,3 +131,26 @@ def last_turns(islands_: DataFrame, keys: list[str], speaker: str, text: str, n:
     lines = F.transform(F.array_sort(F.collect_list(F.struct("island", speaker, text))), lambda t: F.concat_ws(": ", t[speaker], t[text]))
     return kept.groupBy(*keys).agg(F.array_join(lines, "\n").alias("block"))
 
+
+
+#: Kinds of patches, in the order of plots, and their layer groups.
+PLOT_MODES, PLOT_GROUPS = ["Residual", "K/V", "Residual + K/V"], ["Early", "Mid", "Late"]
+
+
+def plot_rates(rows: DataFrame, label: str = "patch_label", rate_: str = "deception_rate", low: str = "ci_low", high: str = "ci_high") -> DataFrame:
+    """Rows with a label, a rate and its interval, the interval made to hold the rate, all within 0 and 1, and `place`:
+    layer groups by kind, then single layers by kind and number, then the rest."""
+    kept = rows.where(F.col(label).isNotNull()).withColumns({c: finite(F.col(c)) for c in (rate_, low, high)}).dropna(subset=[rate_, low, high])
+    r, lo, hi = bracket(F.col(rate_), F.col(low), F.col(high))
+    named = F.lit(None).cast("int")
+    for i, (m, g) in enumerate((m, g) for m in PLOT_MODES for g in PLOT_GROUPS):
+        named = F.coalesce(named, F.when(F.col(label) == f"{m} | {g}", F.lit(i)))
+    layer = F.regexp_extract(label, "^(Residual|K/V|Residual \\+ K/V) \\| Layer (\\d+)$", 2).try_cast("int")
+    mode = F.array_position(F.array(*map(F.lit, PLOT_MODES)), F.regexp_extract(label, "^(.*) \\| ", 1)).cast("int")
+    place = F.struct(F.when(named.isNotNull(), 0).when(layer.isNotNull(), 1).otherwise(2).alias("kind"), F.coalesce(named, mode).alias("mode"), F.coalesce(layer, F.lit(0)).alias("layer"))
+    return kept.withColumns({rate_: r, low: lo, high: hi, "place": place})
+
+
+def rated_rows(rows: DataFrame, rate_: str, least: float) -> DataFrame:
+    """Rows with a finite rate of at least `least`; all rows if that is not above 0."""
+    return rows.where(finite(F.col(rate_)) >= least) if least > 0 else rows

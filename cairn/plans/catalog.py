@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curve_queries, detail_queries, select_queries, text_queries  # noqa: F401
+from . import curve_queries, detail_queries, feature_queries, record_queries, select_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 flagship = curve_queries.flagship

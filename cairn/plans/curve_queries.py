@@ -21,7 +21,7 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 def trace_index(spark: SparkSession, d: str) -> DataFrame:
     """The explorer's index: metrics of each trace with its cell."""
     out = curves.trace_metrics(curves.probes_from_events(table(spark, d, "events")))
-    return out.withColumns({"env": F.concat(F.lit("env"), F.col("trace") % 5), "model": F.concat(F.lit("m"), F.col("trace") % 4), "jump": F.coalesce("jump", F.lit(0.0))})
+    return out.withColumns({"env": F.concat(F.lit("env"), F.col("trace") % 5), "model": F.concat(F.lit("m"), F.col("trace") % 4)})
 
 
 @query(f"WITH {PROBES} SELECT trace, i, nv, nt, round(r, 6) AS r FROM p")
@@ -44,22 +44,26 @@ def juncture_direction_counts(spark, d):
     return curves.first_juncture(_steps(spark, d)).groupBy("direction").agg(F.count("*").alias("n"))
 
 
+_SHARPEST = "s AS (SELECT trace, delta AS jump, i AS jump_at FROM steps WHERE gap = 1 AND delta <> 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY trace ORDER BY abs(delta) DESC, i) = 1)"
+
+
 @query(
     f"""WITH {PROBES},
-m AS (SELECT trace, COUNT(*) AS np, arg_min(r, i) AS r0, arg_max(r, i) AS r1, MIN(r) AS rmin, MAX(r) AS rmax, AVG(r) AS rmean, MAX(r) - MIN(r) AS swing, CAST(SUM(nv) AS BIGINT) AS nv FROM p GROUP BY trace),
-s AS (SELECT trace, abs(delta) AS sharpest, i AS sharpest_at FROM steps WHERE gap = 1 QUALIFY ROW_NUMBER() OVER (PARTITION BY trace ORDER BY abs(delta) DESC, i) = 1)
-SELECT m.trace, np, round(r0, 6) AS r0, round(r1, 6) AS r1, round(rmin, 6) AS rmin, round(rmax, 6) AS rmax, round(rmean, 6) AS rmean, round(swing, 6) AS swing, nv,
-  round(COALESCE(sharpest, 0.0), 6) AS sharpest, sharpest_at, juncture, CASE WHEN jump > 0 THEN 'rise' WHEN jump <= 0 THEN 'fall' END AS direction, round(jump, 6) AS jump,
-  round(CASE WHEN np > 1 AND juncture IS NOT NULL THEN LEAST(1.0, GREATEST(0.0, CAST(juncture AS DOUBLE) / (np - 1))) END, 6) AS jpos
-FROM m LEFT JOIN s USING (trace) LEFT JOIN firsts USING (trace)"""
+m AS (SELECT trace, COUNT(*) AS np, MAX(i) AS ns, arg_min(r, i) AS r0, arg_max(r, i) AS r1, MIN(r) AS rmin, MAX(r) AS rmax, AVG(r) AS rmean, CAST(SUM(nv) AS BIGINT) AS nv FROM p GROUP BY trace),
+{_SHARPEST}
+SELECT m.trace, np, ns, round(r0, 6) AS r0, round(r1, 6) AS r1, round(rmin, 6) AS rmin, round(rmax, 6) AS rmax, round(rmean, 6) AS rmean, round(r1 - r0, 6) + 0.0 AS swing, nv,
+  round(COALESCE(s.jump, 0.0), 6) AS jump, jump_at, juncture, CASE WHEN f.jump > 0 THEN 'rise' WHEN f.jump <= 0 THEN 'fall' END AS direction, round(f.jump, 6) AS jdelta,
+  round(CASE WHEN juncture IS NOT NULL THEN LEAST(1.0, GREATEST(0.0, CAST(juncture AS DOUBLE) / GREATEST(1, ns - 1))) END, 6) AS jpos
+FROM m LEFT JOIN s USING (trace) LEFT JOIN firsts f USING (trace)"""
 )
 def trace_metrics(spark, d):
-    return rounded(curves.trace_metrics(curves.probes_from_events(table(spark, d, "events"))), "r0", "r1", "rmin", "rmax", "rmean", "swing", "sharpest", "jump", "jpos")
+    out = curves.trace_metrics(curves.probes_from_events(table(spark, d, "events")))
+    return rounded(out, "r0", "r1", "rmin", "rmax", "rmean", "jump", "jdelta", "jpos").withColumn("swing", r6("swing") + 0.0)
 
 
-@query(f"WITH {PROBES} SELECT trace, i AS sharpest_at, round(abs(delta), 6) AS sharpest FROM steps WHERE gap = 1 QUALIFY ROW_NUMBER() OVER (PARTITION BY trace ORDER BY abs(delta) DESC, i) = 1")
+@query(f"WITH {PROBES}, {_SHARPEST} SELECT trace, jump_at, round(jump, 6) AS jump FROM s")
 def sharpest_step(spark, d):
-    return rounded(curves.sharpest_step(_steps(spark, d)).where("sharpest_at is not null").select("trace", "sharpest_at", "sharpest"), "sharpest")
+    return rounded(curves.sharpest_step(_steps(spark, d)).where("jump_at is not null"), "jump")
 
 
 @query(f"WITH {PROBES} SELECT trace, MIN(i) FILTER (WHERE prev_r >= 0.5 AND r < 0.5) AS crossing FROM steps GROUP BY trace")
@@ -100,29 +104,33 @@ def rate_default_half(spark, d):
     return c.select("user_id", "nv", r6(intervals.deception_rate(F.col("k"), F.col("nv"))).alias("rate"))
 
 
+_BAND = "round(AVG(value), 6) AS mean_rate, round(AVG(value) - CASE WHEN COUNT(value) > 1 THEN 1.96 * stddev_samp(value) / sqrt(COUNT(value)) ELSE 0.0 END, 6) AS low, round(AVG(value) + CASE WHEN COUNT(value) > 1 THEN 1.96 * stddev_samp(value) / sqrt(COUNT(value)) ELSE 0.0 END, 6) AS high"
+
+
 @query(
     f"""WITH {PROBES},
-k AS (SELECT trace, r, ROW_NUMBER() OVER w - 1 AS k, COUNT(*) OVER (PARTITION BY trace) AS n, LEAD(r) OVER w AS next_r FROM p WINDOW w AS (PARTITION BY trace ORDER BY i)),
-g AS (SELECT trace, b.bin, r + COALESCE((CAST(b.bin * (n - 1) AS DOUBLE) / 19 - k) * (next_r - r), 0.0) AS value
-  FROM k JOIN (SELECT CAST(range AS INT) AS bin FROM range(20)) b ON n >= 2 AND b.bin * (n - 1) >= k * 19 AND (b.bin * (n - 1) < (k + 1) * 19 OR k = n - 1))
-SELECT bin, round(AVG(value), 6) AS mean_rate, COUNT(*) AS n FROM g GROUP BY bin"""
+e AS (SELECT trace, MIN(i) AS a, MAX(i) AS b FROM p GROUP BY trace HAVING COUNT(*) > 1),
+t AS (SELECT trace, bin, a + CAST(bin * (b - a) AS DOUBLE) / 19 AS t, a * 19 + bin * (b - a) AS t19 FROM e, (SELECT CAST(range AS INT) AS bin FROM range(20))),
+g AS (SELECT t.bin, CASE WHEN t.t19 = p.i * 19 OR p.prev_i IS NULL THEN p.r ELSE p.prev_r + (t.t - p.prev_i) / p.gap * (p.r - p.prev_r) END AS value
+  FROM t JOIN steps p ON p.trace = t.trace AND p.i * 19 >= t.t19 AND (p.prev_i IS NULL OR p.prev_i * 19 < t.t19))
+SELECT bin, {_BAND}, COUNT(*) AS n FROM g GROUP BY bin"""
 )
 def grid_profile(spark, d):
-    return rounded(curves.grid_profile(curves.probes_from_events(table(spark, d, "events"))), "mean_rate")
+    return rounded(curves.grid_profile(curves.probes_from_events(table(spark, d, "events"))), "mean_rate", "low", "high")
 
 
 @query(
-    f"""WITH {PROBES}, a AS (SELECT p.i - juncture AS o, r FROM p JOIN firsts USING (trace))
-SELECT CAST(b.range AS INT) AS "offset", round(AVG(r), 6) AS mean_rate, COUNT(r) AS n FROM range(-6, 7) b LEFT JOIN a ON a.o = b.range GROUP BY 1"""
+    f"""WITH {PROBES}, a AS (SELECT p.i - 1 - juncture AS o, r AS value FROM p JOIN firsts USING (trace))
+SELECT CAST(b.range AS INT) AS "offset", {_BAND}, COUNT(value) AS n FROM range(-6, 7) b LEFT JOIN a ON a.o = b.range GROUP BY 1"""
 )
 def aligned_profile(spark, d):
     probes = _probes(spark, d)
-    return rounded(curves.aligned_profile(probes, curves.first_juncture(curves.with_steps(probes))), "mean_rate")
+    return rounded(curves.aligned_profile(probes, curves.first_juncture(curves.with_steps(probes))), "mean_rate", "low", "high")
 
 
 @query(
-    f"""WITH {PROBES}, c AS (SELECT trace, COUNT(*) AS np FROM p GROUP BY trace),
-v AS (SELECT LEAST(9, GREATEST(0, CAST(floor(LEAST(1.0, GREATEST(0.0, CAST(juncture AS DOUBLE) / (np - 1))) / 1.0 * 10) AS INT))) AS bin FROM firsts JOIN c USING (trace) WHERE np > 1)
+    f"""WITH {PROBES}, c AS (SELECT trace, MAX(i) AS ns FROM p GROUP BY trace),
+v AS (SELECT LEAST(9, GREATEST(0, CAST(floor(LEAST(1.0, GREATEST(0.0, CAST(juncture AS DOUBLE) / GREATEST(1, ns - 1))) / 1.0 * 10) AS INT))) AS bin FROM firsts JOIN c USING (trace))
 SELECT CAST(b.range AS INT) AS bin, COUNT(v.bin) AS n, round(b.range * CAST(0.1 AS DOUBLE), 6) AS edge FROM range(10) b LEFT JOIN v ON v.bin = b.range GROUP BY b.range"""
 )
 def jpos_histogram(spark, d):
@@ -189,12 +197,13 @@ def region_sizes(spark, d):
 
 @query(
     f"""WITH {PROBES}, k AS (SELECT trace, i, r, ROW_NUMBER() OVER (PARTITION BY trace ORDER BY i) - 1 AS k, COUNT(*) OVER (PARTITION BY trace) AS n FROM p),
-c AS (SELECT k.trace, MIN(k.k) FILTER (WHERE k.i >= f.juncture) AS c FROM k JOIN firsts f USING (trace) GROUP BY 1)
-SELECT trace, i, round(r, 6) AS r FROM k JOIN c USING (trace) WHERE k >= GREATEST(0, LEAST(COALESCE(c, n - 1) - 1, n - 3)) AND k < GREATEST(0, LEAST(COALESCE(c, n - 1) - 1, n - 3)) + 3"""
+{_SHARPEST}, m AS (SELECT trace, COALESCE(juncture + 1, jump_at) AS centre FROM s LEFT JOIN firsts USING (trace)),
+c AS (SELECT k.trace, k.k AS c FROM k JOIN m ON m.trace = k.trace AND m.centre = k.i)
+SELECT trace, i, round(r, 6) AS r FROM k JOIN c USING (trace) WHERE k >= LEAST(GREATEST(c - 1, 0), GREATEST(n - 3, 0)) AND k < LEAST(GREATEST(c - 1, 0), GREATEST(n - 3, 0)) + 3"""
 )
 def neighbour_window(spark, d):
     probes = _probes(spark, d)
-    centres = curves.first_juncture(curves.with_steps(probes)).select("trace", F.col("juncture").alias("centre"))
+    centres = curves.trace_metrics(probes).select("trace", F.coalesce(F.col("juncture") + 1, F.col("jump_at")).alias("centre"))
     return rounded(curves.neighbourhood(probes, centres), "r")
 
 
@@ -224,8 +233,8 @@ def next_probe_by_gap(spark, d):
     return curves.next_probes(_probes(spark, d), "gap")
 
 
-_EXPLORE = f"""WITH {PROBES}, t AS (SELECT trace, 'env' || trace % 5 AS env, 'm' || trace % 4 AS model, COUNT(*) AS np, round(arg_max(r, i), 6) AS r1 FROM p GROUP BY trace),
-x AS (SELECT t.*, round(COALESCE(jump, 0.0), 6) AS jump FROM t LEFT JOIN firsts USING (trace))"""
+_EXPLORE = f"""WITH {PROBES}, {_SHARPEST}, t AS (SELECT trace, 'env' || trace % 5 AS env, 'm' || trace % 4 AS model, COUNT(*) AS np, round(arg_max(r, i), 6) AS r1 FROM p GROUP BY trace),
+x AS (SELECT t.*, round(COALESCE(s.jump, 0.0), 6) AS jump, juncture FROM t LEFT JOIN s USING (trace) LEFT JOIN firsts USING (trace))"""
 
 
 @query(f"{_EXPLORE} SELECT trace, env, model, np, r1, jump FROM x WHERE env IN ('env0', 'env2') AND abs(jump) >= 0.3 AND np >= 5")
@@ -245,10 +254,10 @@ def explorer_facets(spark, d):
 
 
 @query(
-    f"""{_EXPLORE} SELECT env, round(AVG(CASE WHEN jump <> 0 THEN 1.0 ELSE 0.0 END), 6) AS commit_rate, COUNT(*) AS n FROM x GROUP BY env"""
+    f"""{_EXPLORE} SELECT env, round(AVG(CASE WHEN juncture IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS commit_rate, COUNT(*) AS n FROM x GROUP BY env"""
 )
 def commit_rate_by_env(spark, d):
-    return trace_index(spark, d).groupBy("env").agg(r6(F.avg((F.col("jump") != 0).cast("double"))).alias("commit_rate"), F.count("*").alias("n"))
+    return trace_index(spark, d).groupBy("env").agg(r6(F.avg(F.col("juncture").isNotNull().cast("double"))).alias("commit_rate"), F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import details
 from .curve_queries import trace_index
 from .registry import query, r6, table
 
-_SLOTS = "s AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:4] AS v, LAG(CAST(embedding AS DOUBLE[])[1:4]) OVER w AS b, LAG(CAST(embedding AS DOUBLE[])[1:4], 2) OVER w AS c FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
+_SLOTS = "s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, LAG(CAST(embedding AS DOUBLE[])) OVER w AS b, LAG(CAST(embedding AS DOUBLE[]), 2) OVER w AS c FROM embeddings WHERE embedding IS NOT NULL WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
 
 
 @query(
@@ -18,16 +18,7 @@ _SLOTS = "s AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:4] AS v, LAG(CAST(e
   round(CASE WHEN b IS NULL THEN 0.0 WHEN c IS NULL THEN list_sum(v) - list_sum(b) ELSE list_sum(v) - (list_sum(b) + list_sum(c)) / 2 END, 6) + 0.0 AS delta_mean FROM s"""
 )
 def activation_variants(spark, d):
-    return _variants(table(spark, d, "embeddings"), F.slice("embedding", 1, 4))
-
-
-@query()
-def activation_variants_all(spark, d):
-    """The same over all components."""
-    return _variants(table(spark, d, "embeddings").where("embedding IS NOT NULL"), F.col("embedding"))
-
-
-def _variants(embeddings, places):
+    embeddings, places = table(spark, d, "embeddings").where("embedding IS NOT NULL"), F.col("embedding")
     w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-2, 0)
     v = F.transform(places, lambda x: x.cast("double"))
     rows = embeddings.select("vec_id", "label", v.alias("v")).withColumn("slots", F.reverse(F.collect_list("v").over(w)))
@@ -151,5 +142,5 @@ def worked_example_choice(spark, d):
     """The steepest rise, the steepest fall and the longest trace, from different cells where there are any."""
     index = trace_index(spark, d)
     rise, fall = F.col("direction") == "rise", F.col("direction") == "fall"
-    rows = details.worked_examples(index, ("env", "model"), "trace", {"rise": (rise, F.col("jump")), "fall": (fall, -F.col("jump")), "long": (F.lit(True), F.col("np").cast("double"))})
+    rows = details.worked_examples(index, ("env", "model"), "trace", {"rise": (rise, F.col("jdelta")), "fall": (fall, -F.col("jdelta")), "long": (F.lit(True), F.col("np").cast("double"))})
     return spark.createDataFrame(rows, "kind string, trace long, score double")

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce, jsonx, text
 from ..operators import labels, models, select, summaries
-from ..sources import readers, sinks
+from ..sources import readers, shared, sinks
 from ..streaming import incremental
 from .registry import micros, query, r6, rounded, table
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="cairn-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").where("text is not null")
 
@@ -36,17 +24,17 @@ def word_counts(spark, d):
 
 
 @query(
-    """SELECT item_id, CASE WHEN regexp_extract(trim(text), '(?s)^(.+?[.!?]["'')\\]]*)(?:\\s+|$)(.*)', 1) <> '' THEN regexp_extract(trim(text), '(?s)^(.+?[.!?]["'')\\]]*)(?:\\s+|$)(.*)', 1) ELSE trim(text) END AS first,
-  length(trim(regexp_extract(trim(text), '(?s)^(.+?[.!?]["'')\\]]*)(?:\\s+|$)(.*)', 2))) AS rest FROM benchmark"""
+    """SELECT doc_id, CASE WHEN regexp_extract(trim(text), '(?s)^(.+?[.!?]["'')\\]]*)(?:\\s+|$)(.*)', 1) <> '' THEN regexp_extract(trim(text), '(?s)^(.+?[.!?]["'')\\]]*)(?:\\s+|$)(.*)', 1) ELSE trim(text) END AS first,
+  length(trim(regexp_extract(trim(text), '(?s)^(.+?[.!?]["'')\\]]*)(?:\\s+|$)(.*)', 2))) AS rest FROM documents WHERE text IS NOT NULL"""
 )
 def first_sentence(spark, d):
     t = F.col("text")
-    return table(spark, d, "benchmark").select("item_id", text.first_sentence(t).alias("first"), F.length(text.after_first_sentence(t)).cast("long").alias("rest"))
+    return _docs(spark, d).select("doc_id", text.first_sentence(t).alias("first"), F.length(text.after_first_sentence(t)).cast("long").alias("rest"))
 
 
-@query("""SELECT item_id, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^[ .!?"'']+|[ .!?"'']+$', '', 'g') AS normalized FROM benchmark""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^[ .!?"'']+|[ .!?"'']+$', '', 'g') AS normalized FROM documents WHERE text IS NOT NULL""")
 def normalize_text(spark, d):
-    return table(spark, d, "benchmark").select("item_id", text.normalize(F.col("text")).alias("normalized"))
+    return _docs(spark, d).select("doc_id", text.normalize(F.col("text")).alias("normalized"))
 
 
 @query(
@@ -63,34 +51,24 @@ def sentence_ids(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.sentence_id(F.col("conv_id"), F.col("turn")).alias("sentence_id"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?] '), lambda x: x <> '')) AS sentences FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[A-Z][a-z ,\\n.]+$')")
-def sentence_counts(spark, d):
-    plain = _docs(spark, d).where(F.col("text").rlike("^[A-Z][a-z ,\n.]+$"))
-    return plain.select("doc_id", text.count_sentences(F.col("text")).cast("long").alias("sentences"))
+#: White space as Unicode has it, for an engine whose own class is ASCII.
+_WS = "[ \\x09-\\x0d\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
-@query()
-def sentence_counts_all(spark, d):
-    """The same of every text."""
+@query(f"SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '{_WS}', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS sentences FROM documents WHERE text IS NOT NULL")
+def sentence_counts(spark, d):
     return _docs(spark, d).select("doc_id", text.count_sentences(F.col("text")).cast("long").alias("sentences"))
 
 
 @query()
 def sentence_unnest(spark, d):
-    """Sentences of every document with their spans; the spans give the text back."""
-    rows = _docs(spark, d).select("doc_id", "text", F.posexplode(text.sentences_udf("text")).alias("k", "s"))
-    return rows.select("doc_id", text.sentence_id(F.col("doc_id"), F.col("k")).alias("sentence_id"), "s.start", "s.end", (text.slice_chars(F.col("text"), F.col("s.start"), F.col("s.end")) == F.col("s.text")).alias("matches"))
+    """Sentences of every document by their spans: a text does not travel with each of its sentences."""
+    rows = _docs(spark, d).select("doc_id", F.posexplode(text.spans_udf("text")).alias("k", "s"))
+    return rows.select("doc_id", text.sentence_id(F.col("doc_id"), F.col("k")).alias("sentence_id"), "s.start", "s.end")
 
 
-@query("SELECT doc_id, COALESCE(list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))), 0) AS longest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query(f"SELECT doc_id, COALESCE(list_max(list_transform(regexp_split_to_array(text, '{_WS}'), lambda x: length(x))), 0) AS longest FROM documents WHERE text IS NOT NULL")
 def lossy_runs(spark, d):
-    plain = _docs(spark, d).where(~F.col("text").rlike("[^\\x00-\\x7f]"))
-    return plain.select("doc_id", text.longest_run(F.col("text")).cast("long").alias("longest"))
-
-
-@query()
-def lossy_runs_all(spark, d):
-    """The same of every text."""
     return _docs(spark, d).select("doc_id", text.longest_run(F.col("text")).cast("long").alias("longest"))
 
 
@@ -99,14 +77,8 @@ def json_props_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, 'note ' || event_id AS before, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, 'note ' || event_id AS before, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def last_json_object(spark, d):
-    return _last_objects(table(spark, d, "events").where("event_id % 10 = 0"))
-
-
-@query()
-def last_json_object_all(spark, d):
-    """The same of every event."""
     return _last_objects(table(spark, d, "events"))
 
 
@@ -173,38 +145,6 @@ def optional_ints(spark, d):
     return table(spark, d, "orders").select("o_orderkey", coerce.optional_int(raw).cast("int").alias("n"))
 
 
-def _relabelled(spark, d):
-    """Orders as records of five games: the rules' inputs are made of their columns."""
-    o = table(spark, d, "orders")
-    key = F.col("o_orderkey")
-    pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (key % len(words) + 1).cast("int"))
-    rules = {
-        "bs": labels.cards(pick(["PLAY", "PASS"]), F.when(key % 2 == 0, F.array(F.lit("3H"), F.concat((key % 3 + 2).cast("string"), F.lit("S")))), F.lit(3)),
-        "gridworld": labels.route(pick(["up", "LEFT", "jump"]), F.array(F.lit("UP"), F.lit("RIGHT"))),
-        "advisor_audit": labels.advice(pick(["A", "B", "A", None]), F.lit("A")),
-        "interview": labels.interview(pick(["CLAIM_OTHER_OFFER", "DECLINE_TO_SAY"]), F.when(key % 3 != 0, 100 + key % 3), key % 4 != 0, F.lit(101)),
-        "car_sales": labels.disclosure(pick(["DISCLOSE_ISSUE", "deflect", "SING"])),
-    }
-    game = F.element_at(F.array(*map(F.lit, [*rules, "other"])), (F.floor(key / 12) % 6 + 1).cast("int"))
-    judged = o.select(key.alias("id"), game.alias("game"), labels.dispatch(game, rules).alias("v"), F.when(key % 5 != 0, F.col("o_orderstatus") == "F").alias("recorded"))
-    return judged.withColumn("s", labels.strict_relabel(F.col("recorded"), F.col("v")))
-
-
-@query(
-    """WITH o AS (SELECT o_orderkey AS id, ['bs', 'gridworld', 'advisor_audit', 'interview', 'car_sales', 'other'][1 + CAST(floor(o_orderkey / 12) % 6 AS INT)] AS game, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus = 'F' END AS recorded, o_orderkey AS k FROM orders),
-j AS (SELECT *, CASE game
-  WHEN 'bs' THEN CASE WHEN k % 2 = 1 THEN 'pass' WHEN k % 3 = 1 THEN 'rank_match' ELSE 'rank_mismatch' END
-  WHEN 'gridworld' THEN ['optimal', 'not_optimal', 'unknown_direction'][1 + k % 3]
-  WHEN 'advisor_audit' THEN ['best', 'not_best', 'best', 'missing_recommendation'][1 + k % 4]
-  WHEN 'interview' THEN CASE WHEN k % 2 = 1 THEN 'no_claim' WHEN k % 3 = 0 THEN 'missing_salary' WHEN k % 4 = 0 THEN 'no_such_offer' WHEN k % 3 = 2 THEN 'overstated' ELSE 'as_offered' END
-  WHEN 'car_sales' THEN ['disclose_issue', 'deflect', 'unknown_action'][1 + k % 3] ELSE 'unknown_game' END AS why FROM o),
-l AS (SELECT *, why NOT IN ('unknown_direction', 'missing_recommendation', 'missing_salary', 'unknown_action', 'unknown_game') AS verified, why IN ('rank_mismatch', 'not_optimal', 'not_best', 'no_such_offer', 'overstated', 'deflect') AS lie FROM j)
-SELECT id, game, verified, CASE WHEN verified THEN lie ELSE recorded END AS label, CASE WHEN NOT verified THEN 'unverified:' || why WHEN recorded IS NULL THEN 'label_added' WHEN recorded = lie THEN 'label_confirmed' ELSE 'label_changed' END AS reason FROM l"""
-)
-def strict_relabel_reasons(spark, d):
-    return _relabelled(spark, d).select("id", "game", "s.verified", "s.label", "s.reason")
-
-
 @query("SELECT date_trunc('hour', ts)::VARCHAR AS start, event_type, COUNT(*) AS n, round(SUM(value), 6) AS total FROM events GROUP BY 1, 2")
 def tumbling_window_ext(spark, d):
     out = incremental.windowed(table(spark, d, "events"))
@@ -223,7 +163,7 @@ def session_window_ext(spark, d):
 def stream_running_counts(spark, d):
     """The events as a stream of micro-batches: the state of the last batch is the batch result."""
     events = table(spark, d, "events")
-    source, out, mark = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-mark"))
+    source, out, mark = (shared.path(spark, n) for n in ("stream-in", "stream-out", "stream-mark"))
     events.select("event_type", "value").repartition(3).write.parquet(source)
     stream = incremental.stream_of(spark, source, spark.read.parquet(source).schema)
     counts = incremental.running_counts(stream, ["event_type"], F.col("value") > 5, F.col("value") > 20)
@@ -260,7 +200,7 @@ def job_round_robin(spark, d):
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'")
 def jsonl_round_trip(spark, d):
     """Documents as JSON lines, written and read with an explicit schema."""
-    path = scratch(spark, "jsonl")
+    path = shared.path(spark, "jsonl")
     sinks.write_jsonl(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars"), path)
     return readers.read_jsonl(spark, path, "doc_id long, source string, n_chars long")
 
@@ -268,7 +208,7 @@ def jsonl_round_trip(spark, d):
 @query("SELECT lang, source, COUNT(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1, 2")
 def cell_files_round_trip(spark, d):
     """Files by language; reading one language reads its folder only."""
-    path = scratch(spark, "cells")
+    path = shared.path(spark, "cells")
     sinks.write_cells(table(spark, d, "documents").select("doc_id", "lang", "source"), path, ["lang"], "parquet")
     return spark.read.parquet(path).where("lang = 'fr'").groupBy("lang", "source").agg(F.count("*").alias("n"))
 
@@ -276,7 +216,7 @@ def cell_files_round_trip(spark, d):
 @query("SELECT 'run_' || user_id % 3 AS run_id, CASE WHEN event_type = 'error' THEN TRUE WHEN event_type = 'click' THEN FALSE END AS label, COUNT(*) AS n FROM events GROUP BY 1, 2")
 def mined_scan_round_trip(spark, d):
     """The layout of mined samples made from events, scanned again: run ids from paths, labels coerced."""
-    root = scratch(spark, "mined")
+    root = shared.path(spark, "mined")
     kind = F.when(F.col("event_type") == "error", "yes").when(F.col("event_type") == "click", "truthful")
     rows = table(spark, d, "events").select(F.concat(F.lit("run_"), F.col("user_id") % 3).alias("run"), F.col("event_id").cast("string").alias("sample_id"), kind.alias("deceptive"))
     for run in ("run_0", "run_1", "run_2"):
@@ -325,9 +265,14 @@ def principal_components(spark, d):
     return model.transform(e).select("vec_id", vector_to_array("features").alias("features"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT o_custkey, list(CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END * CAST(o_totalprice AS DOUBLE) / 100000 ORDER BY o_orderdate, o_orderkey) AS r FROM orders GROUP BY 1)
+SELECT o_custkey, round(list_reduce(list_concat([CAST(50.0 AS DOUBLE)], r), lambda s, x: GREATEST(0.0, LEAST(100.0, s + CASE WHEN x < 0 THEN -LEAST(10.0, abs(x) * 1.5 + 0.5) ELSE LEAST(4.0, x * 0.9 + 0.4) END))), 6) AS reputation FROM r"""
+)
 def reputation_recurrence(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("x")).alias("t"))
+    """A reputation folded over each customer's orders, taken as monthly returns."""
+    returns = F.when(F.col("o_orderstatus") == "F", -1.0).otherwise(1.0) * F.col("o_totalprice").cast("double") / 100000
+    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey", returns.alias("x")).alias("t"))
     folded = labels.reputation(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]))
     return o.groupBy("o_custkey").agg(folded.alias("reputation")).select("o_custkey", r6("reputation").alias("reputation"))
 

@@ -64,9 +64,23 @@ def cached_map(items: DataFrame, cache: DataFrame | None, key: str, tag: Callabl
     return known.unionByName(tag(items.join(cache.select(key), key, "left_anti")))
 
 
-def search_trace(trace: str, n: int, sampler: Sampler, samples: int = 50, coarse: int = 8, refine: int = 8, spacing: int = 1) -> list[tuple[int, int, int]]:
-    """Probes (boundary, valid, truthful) of one trace: both ends, bisection on the rate of 0.5, then the midpoints of
-    the steepest and the widest gaps in turn. Each boundary is sampled once."""
+def steepest_gap(rates: dict[int, float], n: int, spacing: int, by_slope: bool = True) -> int | None:
+    """The middle of the gap between probes with the largest slope, or the widest one; the first of equals. Middles
+    within `spacing` of a probe don't count, nor do gaps without a boundary between."""
+    at = sorted(rates)
+    gaps = [(a, b) for a, b in zip(at, at[1:], strict=False) if b - a > 1]
+    size = (lambda g: abs(rates[g[1]] - rates[g[0]]) / (g[1] - g[0])) if by_slope else (lambda g: g[1] - g[0])
+    middles = ((a + b) // 2 for a, b in sorted(gaps, key=lambda g: -size(g)))
+    return next((m for m in middles if 1 <= m <= n and all(abs(m - i) >= spacing for i in at)), None)
+
+
+def search_trace(trace: str, n: int, sampler: Sampler, samples: int = 50, coarse: int = 8, refine: int = 8, spacing: int = 1, least_valid: int = 1, least_step: int = 1) -> list[tuple[int, int, int]]:
+    """Probes (boundary, valid, truthful) of one trace, each boundary sampled once.
+
+    Both ends; then, from boundary 0 on, bisection for the earliest boundary with a rate of at least 0.5 (one with too
+    few valid outcomes counts as below), while the bracket is wider than `least_step`; then the middles of the steepest
+    gaps, of the widest where there is none, and of the steepest at any spacing.
+    """
     known: dict[int, tuple[int, int]] = {}
 
     def probe(i: int) -> float:
@@ -77,26 +91,27 @@ def search_trace(trace: str, n: int, sampler: Sampler, samples: int = 50, coarse
 
     if n < 1:
         return []
-    low, high = 1, n
-    end, begin = probe(n), probe(1)
-    side = end >= 0.5
-    if (begin >= 0.5) != side:
-        for _ in range(coarse):
-            middle = (low + high) // 2
-            if middle in (low, high):
-                break
-            if (probe(middle) >= 0.5) == side:
-                high = middle
-            else:
-                low = middle
-    for step in range(refine):
-        at = sorted(known)
-        gaps = [(a, b) for a, b in zip(at, at[1:], strict=False) if b - a > 1]
-        size = (lambda g: abs(probe(g[1]) - probe(g[0])) / (g[1] - g[0])) if step % 2 == 0 else (lambda g: g[1] - g[0])
-        fits = [(a + b) // 2 for a, b in sorted(gaps, key=lambda g: (-size(g), g[0])) if (a + b) // 2 - a >= spacing and b - (a + b) // 2 >= spacing]
-        if not fits:
+    probe(n)
+    probe(1)
+    low, high = 0, n
+    for _ in range(coarse):
+        if high - low <= max(least_step, 0):
             break
-        probe(fits[0])
+        middle = (low + high) // 2
+        if probe(middle) >= 0.5 and known[middle][0] >= least_valid:
+            high = middle
+        else:
+            low = middle
+    for _ in range(refine):
+        rates = {i: probe(i) for i in known}
+        found = steepest_gap(rates, n, spacing)
+        if found is None:
+            found = steepest_gap(rates, n, spacing, by_slope=False)
+        if found is None and spacing > 1:
+            found = steepest_gap(rates, n, 1)
+        if found is None:
+            break
+        probe(found)
     return [(i, *known[i]) for i in sorted(known)]
 
 

@@ -1,13 +1,12 @@
 """Queries over whole inputs, against plain Python."""
 
-import json
-import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from cairn.functions.text import sentence_spans
 from cairn.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -21,38 +20,15 @@ def run(spark, name):
     return catalog.queries()[name](spark, SF).collect()
 
 
-def test_reputation_of_every_customer(spark):
-    told = defaultdict(list)
-    for r in rows("orders"):
-        told[r["o_custkey"]].append((r["o_orderdate"], r["o_orderkey"], float(r["o_orderstatus"] == "F")))
-    want = {}
-    for k, seen in told.items():
-        s = 0.5
-        for _, _, x in sorted(seen):
-            s = min(1.0, max(0.0, s + 0.1 * (x - s)))
-        want[k] = pytest.approx(s, abs=2e-6)
-    got = run(spark, "reputation_recurrence")
-    assert len(got) == len(want) and {r["o_custkey"]: r["reputation"] for r in got} == want
-
-
-def test_last_object_of_every_event(spark):
-    want = {r["event_id"]: (f"note {r['event_id']}", json.loads(r["props"])["k"]) for r in rows("events")}
-    got = run(spark, "last_json_object_all")
-    assert len(got) == len(want) and {r["event_id"]: (r["before"], r["k"]) for r in got} == want
-
-
-def test_union_with_every_document(spark):
-    want = [(r["doc_id"], r["quality"], r["toxic"]) for r in rows("labels")] + [(r["doc_id"], None, None) for r in rows("documents")]
-    assert sorted(map(repr, map(tuple, run(spark, "union_padded_all")))) == sorted(map(repr, want))
-
-
-def test_sentences_and_runs_of_every_text(spark):
+def test_runs_and_spans_of_every_text(spark):
     texts = {r["doc_id"]: r["text"] for r in rows("documents") if r["text"] is not None}
-    got = {r["doc_id"]: r["longest"] for r in run(spark, "lossy_runs_all")}
-    assert got == {k: max(map(len, re.split(r"[ \t\n\v\f\r]+", t))) for k, t in texts.items()}
-    told = {r["doc_id"]: r["sentences"] for r in run(spark, "sentence_counts_all")}
-    joined = {k: re.sub(r"[ \t\n\v\f\r]+", " ", t).strip(" ") for k, t in texts.items()}
-    assert told == {k: sum(x != "" for x in re.split(r"(?<=[.!?]) +", t)) for k, t in joined.items()}
+    got = {r["doc_id"]: r["longest"] for r in run(spark, "lossy_runs")}
+    assert got == {k: max(map(len, t.split()), default=0) for k, t in texts.items()}
+    spans = defaultdict(list)
+    for r in run(spark, "sentence_unnest"):
+        assert r["sentence_id"] == f"{r['doc_id']}/sent_{len(spans[r['doc_id']]):04d}"
+        spans[r["doc_id"]].append((r["start"], r["end"]))
+    assert spans == {k: got for k, t in texts.items() if (got := sentence_spans(t))}
 
 
 def test_all_places_of_embeddings(spark):
@@ -62,7 +38,7 @@ def test_all_places_of_embeddings(spark):
         own, old = sum(map(float, r["embedding"])), before[r["label"]][-2:]
         want[r["vec_id"]] = (own, own - old[-1] if old else 0.0, own - sum(old) / len(old) if old else 0.0)
         before[r["label"]].append(own)
-    got = {r["vec_id"]: (r["final"], r["delta_last"], r["delta_mean"]) for r in run(spark, "activation_variants_all")}
+    got = {r["vec_id"]: (r["final"], r["delta_last"], r["delta_mean"]) for r in run(spark, "activation_variants")}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
     x, even = np.array([r["embedding"] for r in e], float), np.array([r["vec_id"] % 2 == 0 for r in e])
