@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,11 +29,31 @@ def plain(coder, texts):
     return [np.array(e.ids, dtype=coder.kind).tobytes() for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_encoding_by_runs_equals_the_tokenizer(coder):
+def cut(ids, sizes):
+    ends = np.cumsum(sizes)
+    return [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+
+
+def test_encoding_by_runs_equals_the_tokenizer(coder, monkeypatch):
     r = random.Random(2)
     bits = ["a", "B", " ", "  ", "\n", "\t", "é", "1", "²", "_", "-", "!", "'s", "'", "\xa0", "　", "中", "😀", "\x1c", "\x0b", "\x85", "ä", "٣", "Ⅷ", "<|endoftext|>", "​", "‍", "word", "\x00", "﻿", " ", "'ll"]
     texts = ["".join(r.choices(bits, k=r.randint(0, 14))) for _ in range(20_000)]
-    assert coder.encode(texts) == plain(coder, texts)
+    want = plain(coder, texts)
+    for known in (tokens.KNOWN_RUNS, 50):  # with much kept, and with nearly all forgotten at each step
+        monkeypatch.setattr(tokens, "KNOWN_RUNS", known)
+        got = []
+        for lo in range(0, len(texts), 1000):
+            got += cut(*coder.encode(pa.array(texts[lo : lo + 1000])))
+        assert got == want
+
+
+def test_long_texts_are_encoded_in_pieces(coder, monkeypatch):
+    monkeypatch.setattr(tokens, "STEP_BYTES", 300)
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["alpha", "beta,", "\n", "", "  ", "x\ny", "Ünï", "(gamma)", "42", "it's"], k=r.randint(0, 400))) for _ in range(60)]
+    assert cut(*coder.encode(pa.array(texts, pa.string()))) == plain(coder, texts)
+    ids, sizes = coder.encode(pa.array([], pa.string()))
+    assert len(ids) == len(sizes) == 0
 
 
 def test_files_give_every_document_back(spark, coder, monkeypatch):
@@ -53,3 +74,19 @@ def test_files_give_every_document_back(spark, coder, monkeypatch):
         assert r["start"] == at and (r["doc_id"] if r["doc_id"] is not None else -1) >= last
         at, last = at + r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else -1
     assert tokens.encode_documents(df.limit(0), catalog.tokenizer_path()).collect() == []
+
+
+def test_single_tokens_by_place_and_by_document(spark, coder, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_TOKENS", 64)
+    rows = [(i, f"some words of {i} " * (i % 17)) for i in range(60)] + [(7, "again and again")]
+    path = f"{tokens.shared_dir(spark)}/tokens-by-place"
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, catalog.tokenizer_path())
+    every = []
+    for d, t in sorted(rows, key=lambda r: (r[0], zlib.crc32(r[1].encode()))):
+        every += [(d, i, x) for i, x in enumerate([*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2])]
+    asked = [*range(0, len(every), 11), len(every) - 1]
+    got = tokens.tokens_at(spark, path, spark.createDataFrame([(p,) for p in [*asked, -1, len(every), 10**9]], "position long")).collect()
+    assert {r["position"]: r["id"] for r in got} == {p: every[p][2] for p in asked}
+    pairs = [(7, 0), (7, 3), (16, 40), (16, 10**6), (17, 0), (99, 0), (3, -1)]
+    got = tokens.tokens_of(spark, path, spark.createDataFrame(pairs, "doc_id long, i long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((d, i, x) for d, i, x in every if (d, i) in pairs)
