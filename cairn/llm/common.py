@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: One word, everywhere in this package: a run of anything but space and \t \n \v \f \r.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -22,8 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once, unless the session says so itself: several workers share an
+#: executor's memory with its buffers of these on either side.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver found it by its working directory alone."""
+    """Let Python workers import this package when the driver found it by its working directory alone, and bound what
+    they get at once."""
+    if spark.conf.get(BATCH_KEY, "1") == "1":  # 1 stands for: unset
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
@@ -32,24 +41,25 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="cairn-shared-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a new one is set for
+    a session in one process, as in tests; on a cluster, whose machines don't share their folders, that is an error."""
+    return shared.folder(spark)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared.path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; what was not written here stays."""
+    for t in tables:
+        if getattr(t, "written_to", None):
+            shared.remove(t.sparkSession, t.written_to)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
@@ -69,6 +79,34 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `size` bytes, a row at least."""
+    rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, giving memory back when a task ends: workers are used again, side by side."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fresh(columns: list[str], wanted: str) -> str:
     """A column name that clashes with none of the given ones, in any case."""
     taken = {c.lower() for c in columns}

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, tidy
 
 DIM, SEED = 512, 20240
 #: The most labelled documents that the prototypes are learned on.
 SAMPLE = 20_000
 UND = "und"
-#: Trigrams whose vectors a task keeps.
-MOST_GRAMS = 60_000
+#: Trigrams whose vectors a task keeps, in bytes of one component each, and those bundled at once.
+MOST_GRAMS, STEP_GRAMS = 40_000, 2_000
 #: A text is like its language from this share of the low quantile of labelled texts on; fewer of these say nothing.
 LIKE_SHARE, LIKE_QUANTILE, LIKE_ROWS = 2 / 3, 0.05, 10
 
@@ -46,7 +46,7 @@ class Profiler:
         self.table[32] = 1
         self.letters = [np.zeros(dim, np.int8), self._letter(32)]
         self.known, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.vectors = np.empty((4096, dim), np.float32)
+        self.vectors = np.empty((4096, dim), np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         bits = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8)
@@ -84,7 +84,7 @@ class Profiler:
         if len(new):
             n = len(self.known)
             if n + len(new) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors[:n], np.empty((n + 2 * len(new), self.dim), np.float32)])
+                self.vectors = np.concatenate([self.vectors[:n], np.empty((n + 2 * len(new), self.dim), np.int8)])
             for k, g in enumerate(new.tolist(), n):
                 a, b, c = (self.letters[(g >> s) & 0xFFFFF] for s in (40, 20, 0))
                 self.vectors[k] = np.roll(a, 2) * np.roll(b, 1) * c
@@ -104,9 +104,9 @@ class Profiler:
         if not len(grams):
             return None, 0
         out = np.zeros(self.dim, np.float32)
-        for lo in range(0, len(grams), 20_000):
-            at = self.places(grams[lo : lo + 20_000])
-            out += counts[lo : lo + 20_000].astype(np.float32) @ self.vectors[at]
+        for lo in range(0, len(grams), STEP_GRAMS):
+            at = self.places(grams[lo : lo + STEP_GRAMS])
+            out += counts[lo : lo + STEP_GRAMS].astype(np.float32) @ self.vectors[at].astype(np.float32)
         n = float(np.linalg.norm(out))
         return (out / n if n else None), len(grams).bit_length() - 1
 
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, dim: int = DIM, sample: int = SAMPLE) -> tuple[list[s
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [s.tolist() for s in sums.values()]})
 
     ready(docs.sparkSession)
-    parts = rows.select("lang", "text").mapInArrow(run, "lang string, v array<double>")
+    parts = rows.select("lang", "text").mapInArrow(tidy(run), "lang string, v array<double>")
     # sums by language and place: a row for each language and place reaches the driver, however many documents there are
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     got = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.col("v.x").alias("v")).collect()
@@ -187,7 +187,7 @@ def learn_floors(docs: DataFrame, classifier: Classifier, sample: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["lang", "size", "cos"])
 
     ready(docs.sparkSession)
-    own = labelled(docs, sample).select("lang", "text").mapInArrow(run, "lang string, size int, cos double").groupBy("lang", "size")
+    own = labelled(docs, sample).select("lang", "text").mapInArrow(tidy(run), "lang string, size int, cos double").groupBy("lang", "size")
     out: dict[str, dict[int, float]] = {}
     for r in own.agg(F.count("*").alias("n"), F.percentile("cos", F.lit(LIKE_QUANTILE)).alias("low")).collect():
         if r["n"] >= LIKE_ROWS:
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, classifier: Classifier, columns: list[str]) -> Data
 
     ready(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out_fold: int = 1, folds: int = 3) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([like(classifier, floors, p, t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     ready(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

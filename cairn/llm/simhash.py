@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, ready, written
+from .common import discard, fresh, partitions, ready, tidy, written
 
 BITS, SEED = 64, 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -36,13 +36,16 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 RADIUS, CHUNK_BITS, SALT_ROWS = 3, 16, 50_000
 #: Microseconds that a probe (made, moved, sorted) and a candidate (verified) cost.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.005
-#: Candidates verified at once, bytes of rows for one task.
-STEP, TASK_BYTES = 2_000_000, 64 << 20
+#: Candidates looked at at once, pairs of sketches compared at once, bytes of rows for one task.
+STEP, PROOFS, TASK_BYTES = 250_000, 20_000, 64 << 20
+#: Rows that a task holds at once, without and with sketches, if the index rows of no key are more.
+RUN_ROWS, PROVED_ROWS = 250_000, 50_000
 #: Near-dedup: words as features, bits within which candidates are probed, words of a shingle, the similarity.
 NEAR_BITS, NEAR_SHINGLE, NEAR_SIMILARITY = 8, 5, 0.8
 BINS = 128
 #: Bands of least hashes, and hashes of a band: a pair of similarity s shares none with (1 - s**4)**16, 0.0002 at 0.8.
 BANDS, BAND_HASHES = 16, 4
+POSTINGS, MET, EDGES = "key long, kind byte, fp long, node long", "key long, kind byte, node long", "a long, b long"
 
 
 # fingerprints
@@ -114,7 +117,7 @@ def _fingerprints(docs: DataFrame, one: Callable[[str], tuple], schema: str, kin
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]], names=["doc_id", *names])
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 def _signed(n: int) -> int:
@@ -210,7 +213,7 @@ def co_occurrence(distinct: DataFrame) -> np.ndarray:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS, dtype=np.int32)), pa.array(total.ravel())], names=["at", "n"])
 
-    sums = distinct.select("fp").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = distinct.select("fp").mapInArrow(tidy(run), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     both = np.zeros(BITS * BITS)
     both[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     return both.reshape(BITS, BITS)
@@ -239,7 +242,7 @@ def make_layout(distinct: DataFrame, n: int, bits: int) -> Layout:
             at = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(into[at])], names=["chunk", "value", "n"])
 
-    got = distinct.select("fp").mapInArrow(run, "chunk int, value int, n long").groupBy("chunk", "value").agg(F.sum("n").alias("n")).toArrow()
+    got = distinct.select("fp").mapInArrow(tidy(run), "chunk int, value int, n long").groupBy("chunk", "value").agg(F.sum("n").alias("n")).toArrow()
     chunk, value, count = (got.column(c).to_numpy() for c in ("chunk", "value", "n"))
     shells, k = [], 0
     for p in chunks:
@@ -359,14 +362,50 @@ class Forest:
                     break
                 self.parent = up
 
+    def edges(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        child = np.flatnonzero(self.parent != np.arange(len(names)))
+        return names[child], names[self.parent[child]]
 
-def linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, kind: np.ndarray, bits: int, sketches: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of trees over what is verified among a task's rows: (node, root)."""
-    names, local = np.unique(node, return_inverse=True)
-    forest = Forest(len(names))
-    index = np.flatnonzero(kind < 2)
+
+def whole_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by key, then kind, in pieces of whole runs of a key, of about `most` rows.
+
+    A longer run comes in several pieces, each with the run's index rows (kind 0 or 1; once all of them are there)
+    and some of its probes: memory is bounded by the index rows of one key, not by its probes.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, enough = 0, most
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        t = pa.Table.from_batches(held)
+        key = t.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut:
+            yield t.slice(0, cut)
+            rest = t.slice(cut)
+        else:
+            kind = t.column("kind").to_numpy()
+            if kind[-1] == 2 and (kind == 2).sum() >= most // 2:
+                yield t
+                index = t.filter(pa.array(kind < 2))
+                at = index.schema.get_field_index("kind")
+                rest = index.set_column(at, t.schema.field(at), pa.array(np.zeros(index.num_rows, np.int8)))
+            else:
+                rest = t
+        held = rest.combine_chunks().to_batches()
+        rows = rest.num_rows
+        enough = max(most, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(key: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of probes (kind 1, 2) and of the index rows (kind 0, 1) of their keys, STEP at once."""
+    index, probe = np.flatnonzero(kind < 2), np.flatnonzero(kind >= 1)
     index = index[np.argsort(key[index], kind="stable")]
-    probe = np.flatnonzero(kind >= 1)
     lo, hi = np.searchsorted(key[index], key[probe], "left"), np.searchsorted(key[index], key[probe], "right")
     probe, lo, count = probe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     upto = np.cumsum(count)
@@ -377,91 +416,158 @@ def linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, kind: np.ndarray,
         # a probe whose bucket alone exceeds a step is cut further
         for cut in range(0, int(count[start]) if stop == start + 1 else 1, STEP):
             c = np.minimum(count[start:stop] - cut, STEP) if stop == start + 1 else count[start:stop]
-            q = np.repeat(probe[start:stop], c)
-            x = index[np.repeat(lo[start:stop] + cut, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-            near = (local[q] != local[x]) & (np.bitwise_count(fp[q] ^ fp[x]) <= bits)
-            q, x = q[near], x[near]
-            if sketches is not None and len(q):
-                new = forest.parent[local[q]] != forest.parent[local[x]]  # what is linked already needs no proof
-                q, x = q[new], x[new]
-                for at in range(0, len(q), 100_000):
-                    a, b = q[at : at + 100_000], x[at : at + 100_000]
-                    apart = forest.parent[local[a]] != forest.parent[local[b]]
-                    a, b = a[apart], b[apart]
-                    sure = similarity(sketches[a], sketches[b]) >= least
-                    forest.link(local[a[sure]], local[b[sure]])
-            else:
-                forest.link(local[q], local[x])
+            yield np.repeat(probe[start:stop], c), index[np.repeat(lo[start:stop] + cut, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
         start = stop
-    child = np.flatnonzero(forest.parent != np.arange(len(names)))
-    return names[child], names[forest.parent[child]]
 
 
-def link_trees(distinct: DataFrame, bits: int, least: float | None = None) -> DataFrame:
-    """Edges a, b between nodes of `distinct` (fp, node and, if `least` is given, sketch), as trees from each task."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    if n < 2:
-        return spark.createDataFrame([], "a long, b long")
-    ready(spark)
+def linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, kind: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of trees over the rows of a key that differ in at most `bits`: (node, root)."""
+    names, local = np.unique(node, return_inverse=True)
+    forest = Forest(len(names))
+    for q, x in candidates(key, kind):
+        near = (local[q] != local[x]) & (np.bitwise_count(fp[q] ^ fp[x]) <= bits)
+        forest.link(local[q[near]], local[x[near]])
+    return forest.edges(names)
+
+
+def met(key: np.ndarray, fp: np.ndarray, node: np.ndarray, kind: np.ndarray, bits: int) -> np.ndarray:
+    """Which rows differ from another node's of their key, probe from index, in at most `bits`."""
+    out = np.zeros(len(key), bool)
+    for q, x in candidates(key, kind):
+        near = (node[q] != node[x]) & (np.bitwise_count(fp[q] ^ fp[x]) <= bits)
+        out[q[near]] = True
+        out[x[near]] = True
+    return out
+
+
+def proved(key: np.ndarray, node: np.ndarray, kind: np.ndarray, sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of trees over the rows of a key, probe and index, whose sketches are alike: (node, root)."""
+    names, local = np.unique(node, return_inverse=True)
+    forest = Forest(len(names))
+
+    def prove(q: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(q), PROOFS):
+            a, b = q[at : at + PROOFS], x[at : at + PROOFS]
+            apart = forest.parent[local[a]] != forest.parent[local[b]]  # what is linked already needs no proof
+            a, b = a[apart], b[apart]
+            sure = similarity(sketches[a], sketches[b]) >= least
+            forest.link(local[a[sure]], local[b[sure]])
+
+    # first each row with the first of its key: in a group of copies that links nearly all, so that few pairs are left
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    run = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
+    first = order[begin][run]
+    fits = (kind[order] >= 1) & (kind[first] < 2) | (kind[order] < 2) & (kind[first] >= 1)
+    prove(first[fits], order[fits])
+    # then the pairs that are still apart; where all rows are both, those linked to the first need not ask the others
+    root, here = forest.parent[local[order]], kind[order]
+    mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+    even = (np.minimum.reduceat(here, begin) == 1) & (np.maximum.reduceat(here, begin) == 1)
+    asks = ~(even[run] & (root == root[begin][run]))
+    part = mixed[run]
+    some = order[part]
+    for q, x in candidates(key[some], np.where(asks[part], here[part], 0)):
+        prove(some[q], some[x])
+    return forest.edges(names)
+
+
+def postings_of(distinct: DataFrame, n: int, bits: int) -> tuple[DataFrame, int]:
+    """Index and probe rows (key, kind, fp, node) of the fingerprints, and about how many one makes."""
     layout = make_layout(distinct, n, bits)
-    names = ["fp", "node"] + (["sketch"] if least is not None else [])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _unsigned(batch.column(0))
             for row, key, kind in postings(layout, fp):
                 if len(row):
-                    part = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), *part.columns], names=["key", "kind", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), *batch.take(pa.array(row)).columns], names=["key", "kind", "fp", "node"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        key, kind, fp, node = (t.column(c).to_numpy() for c in ("key", "kind", "fp", "node"))
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), BINS) if least is not None else None
-        a, b = linked(key, fp.view(np.uint64), node, kind, bits, sketches, least or 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    width = 33 + (BINS + 16 if least is not None else 0)
     m, spare = len(layout.parts), bits - len(layout.parts) + 1
     probes = sum(sum(math.comb(len(p), j) for j in range(max(0, spare // m + (i < spare % m)) + 1)) for i, p in enumerate(layout.parts))
-    tasks = partitions(spark, math.ceil(n * (m + probes) * width / TASK_BYTES))
-    schema = "key long, kind byte, fp long, node long" + (", sketch binary" if least is not None else "")
-    return distinct.select(*names).mapInArrow(emit, schema).repartition(tasks, "key").mapInArrow(link, "a long, b long")
+    return distinct.select("fp", "node").mapInArrow(tidy(emit), POSTINGS), m + probes
+
+
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(tasks, "key").sortWithinPartitions("key", "kind")
+
+
+def link_trees(distinct: DataFrame, bits: int) -> DataFrame:
+    """Edges a, b between nodes of `distinct` (fp, node) whose fingerprints differ in at most `bits`, as trees from each task."""
+    spark = ready(distinct.sparkSession)
+    n = distinct.count()
+    if n < 2:
+        return spark.createDataFrame([], EDGES)
+    rows, each = postings_of(distinct, n, bits)
 
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, RUN_ROWS):
+            key, kind, fp, node = (t.column(c).to_numpy() for c in ("key", "kind", "fp", "node"))
+            a, b = linked(key, fp.view(np.uint64), node, kind, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def band_trees(distinct: DataFrame, least: float) -> DataFrame:
-    """Edges a, b between nodes of `distinct` (node, sketch, bands) that share a band, verified on sketches, as trees."""
+    return dealt(rows, partitions(spark, math.ceil(n * each * 33 / TASK_BYTES))).mapInArrow(tidy(link), EDGES)
+
+
+def near_rows(distinct: DataFrame, bits: int) -> DataFrame:
+    """key, kind, node of the postings of `distinct` (fp, node) that have a fingerprint within `bits` at their key."""
     spark = ready(distinct.sparkSession)
+    n = distinct.count()
+    if n < 2:
+        return spark.createDataFrame([], MET)
+    rows, each = postings_of(distinct, n, bits)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, RUN_ROWS):
+            key, kind, fp, node = (t.column(c).to_numpy() for c in ("key", "kind", "fp", "node"))
+            near = pa.array(met(key, fp.view(np.uint64), node, kind, bits))
+            yield from t.select(["key", "kind", "node"]).filter(near).to_batches()
+
+    return dealt(rows, partitions(spark, math.ceil(n * each * 33 / TASK_BYTES))).mapInArrow(tidy(meet), MET)
+
+
+def band_keys(distinct: DataFrame) -> DataFrame:
+    """key, node of the bands of `distinct` (node, bands)."""
+    ready(distinct.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8").reshape(batch.num_rows, BANDS)
+                keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(batch.num_rows, BANDS)
                 for i in range(BANDS):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, i] ^ i), batch.column(0), batch.column(1)], names=["key", "node", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, i] ^ i), batch.column(0)], names=["key", "node"])
+
+    return distinct.select("node", "bands").mapInArrow(tidy(emit), "key long, node long")
+
+
+def band_rows(rows: DataFrame) -> DataFrame:
+    """key, kind, node of the rows (key, node) whose key several nodes share. Keys of very many nodes are salted: each node
+    is index under one salt and probe under all."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    salts = F.floor(F.col("n") / SALT_ROWS).cast("int")
+    shared = rows.join(counts, "key").withColumn("salts", salts)
+    once = shared.where("salts = 0").select("key", F.lit(1).cast("byte").alias("kind"), "node")
+    hot = shared.where("salts > 0")
+    salted = lambda s: F.xxhash64("key", s)
+    index = hot.select(salted(F.pmod(F.xxhash64("node"), F.col("salts") + 1).cast("int")).alias("key"), F.lit(0).cast("byte").alias("kind"), "node")
+    probe = hot.select("key", "node", F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("s")).select(salted(F.col("s")).alias("key"), F.lit(2).cast("byte").alias("kind"), "node")
+    return once.unionByName(index).unionByName(probe)
+
+
+def proved_trees(here: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """Edges a, b of rows (key, kind, node) of a key whose sketches, from `distinct` (node, sketch), are alike, as trees."""
+    spark = ready(distinct.sparkSession)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        del held
-        key = t.column("key").to_numpy()
-        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        shared = count[group] > 1  # a key of its own links nothing
-        t, key = t.filter(pa.array(shared)), key[shared]
-        node = t.column("node").to_numpy()
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), BINS)
-        a, b = linked(key, np.zeros(len(key), np.uint64), node, np.ones(len(key), np.int8), BITS, sketches, least)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for t in whole_runs(batches, PROVED_ROWS):
+            key, kind, node = (t.column(c).to_numpy() for c in ("key", "kind", "node"))
+            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(key), BINS)
+            a, b = proved(key, node, kind, sketches, least)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    tasks = partitions(spark, math.ceil(distinct.count() * BANDS * (16 + BINS + 16) / TASK_BYTES))
-    rows = distinct.select("node", "sketch", "bands").mapInArrow(emit, "key long, node long, sketch binary")
-    return rows.repartition(tasks, "key").mapInArrow(link, "a long, b long")
+    tasks = partitions(spark, math.ceil(here.count() * (33 + BINS + 16) / TASK_BYTES))
+    return dealt(here.join(distinct.select("node", "sketch"), "node").select("key", "kind", "node", "sketch"), tasks).mapInArrow(tidy(link), EDGES)
 
 
 # components
@@ -481,8 +587,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, now = now, written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = stat(now)
+        discard(last)
         if after == before:
             break
         before = after
@@ -503,23 +610,34 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3) -> Data
     return fps.join(placed, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _near_groups(docs: DataFrame, bits: int, shingle: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id and group, and the written tables that these are read from."""
+    prints = written(near_fingerprints(docs.where("doc_id is not null"), shingle), "near-fingerprints")
+    distinct = written(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "near-distinct")
+    keys = written(band_keys(distinct), "near-bands")
+    met_ = written(near_rows(distinct, bits).unionByName(band_rows(keys)), "near-met")
+    discard(keys)
+    found = components(proved_trees(met_, distinct, least))
+    discard(met_)
+    placed = distinct.join(found, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("group"))
+    return prints.join(placed, ["fp", "sketch"]).select("doc_id", "group"), [prints, distinct]
+
+
 def near_groups(docs: DataFrame, bits: int = NEAR_BITS, shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id and group (the least doc_id of its near duplicates) for all doc_ids but null.
 
     Candidates are within `bits` of the SimHash of their words, or share a band of least hashes of their shingles
-    (text put in moves many bits of the words, not the bands); they are verified on sketches of their shingles, whose
-    estimate of the Jaccard similarity has a standard error of 0.035 on long texts and of none on texts
-    of few shingles.
+    (text put in moves many bits of the words, not the bands). Postings travel without sketches; those that meet another
+    at their key are joined with theirs, and links are verified on them: their estimate of the Jaccard similarity has a
+    standard error of 0.035 on long texts and of none on texts of few shingles.
     """
-    prints = written(near_fingerprints(docs.where("doc_id is not null"), shingle), "near-fingerprints")
-    distinct = written(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "near-distinct")
-    found = components(link_trees(distinct, bits, least).unionByName(band_trees(distinct, least)))
-    placed = distinct.join(found, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("group"))
-    return prints.join(placed, ["fp", "sketch"]).select("doc_id", "group")
+    return _near_groups(docs, bits, shingle, least)[0]
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = NEAR_BITS, shingle: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY) -> DataFrame:
     """The rows of docs without those that have a near duplicate of a lesser doc_id; rows with a null doc_id stay."""
     name = fresh(docs.columns, "copy_id")
-    copies = written(near_groups(docs, **parameters).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    groups, used = _near_groups(docs, bits, shingle, least)
+    copies = written(groups.where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    discard(*used)
     return docs.join(copies, F.col("doc_id") == F.col(name), "left_anti")

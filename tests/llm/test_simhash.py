@@ -118,6 +118,91 @@ def test_near_duplicates_with_text_put_in_go(spark):
     assert kept == list(range(0, 120, 2))
 
 
+def brute_trees(keys, kinds, nodes, near):
+    """Components over pairs of one key, probe and index, that are near."""
+    rows = list(zip(keys, kinds, nodes, range(len(keys)), strict=True))
+    pairs = {(a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] >= 1 and b[1] < 2 and a[2] != b[2] and near(a[3], b[3])}
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        x, y = sorted((root(nodes[i]), root(nodes[j])))
+        parent[y] = x
+    return {n: root(n) for n in nodes}
+
+
+def grown(edges, nodes):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(int(a)), root(int(b))))
+        parent[y] = x
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_proofs_equal_brute_force(seed, monkeypatch):
+    monkeypatch.setattr(simhash, "STEP", 40)
+    monkeypatch.setattr(simhash, "PROOFS", 30)
+    rng = np.random.default_rng(seed)
+    kinds = [1] if seed % 2 else [0, 1, 2]
+    n = 240
+    of_node = np.concatenate([np.repeat(rng.integers(0, 256, (6, simhash.BINS), dtype=np.uint8), 10, axis=0)])
+    for k in range(60):  # groups of sketches that differ more and more from their first
+        of_node[k, : (k % 10) * 4] = rng.integers(0, 256, (k % 10) * 4)
+    node = rng.integers(0, 60, n)
+    key, kind = rng.integers(0, 9, n), rng.choice(kinds, n).astype(np.int8)
+    order = np.lexsort((kind, key))
+    key, kind, node = key[order], kind[order], node[order]
+    sketches = of_node[node]
+    near = lambda i, j: simhash.similarity(sketches[i : i + 1], sketches[j : j + 1])[0] >= 0.8
+    a, b = simhash.proved(key, node, kind, sketches, 0.8)
+    nodes = [int(x) for x in node]
+    assert grown(zip(a, b, strict=True), set(nodes)) == brute_trees(key, kind, nodes, near)
+
+
+@pytest.mark.parametrize("most", [1, 7, 50, 10_000])
+def test_pieces_hold_whole_runs(most):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(most)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(400, 17)]))
+    kind = rng.choice([0, 1, 2], len(key)).astype(np.int8)
+    order = np.lexsort((kind, key))
+    t = pa.table({"key": pa.array(key[order]), "kind": pa.array(kind[order]), "row": pa.array(np.arange(len(key)))})
+    met = lambda k, kd, r: {(int(r[a]), int(r[b])) for a in range(len(k)) for b in range(len(k)) if k[a] == k[b] and kd[a] >= 1 and kd[b] < 2}
+    cols = lambda x: tuple(x.column(c).to_numpy() for c in ("key", "kind", "row"))
+    got = set()
+    for piece in simhash.whole_runs(iter(t.to_batches(max_chunksize=23)), most):
+        got |= met(*cols(piece))
+    assert got == met(*cols(t))
+
+
+def test_near_duplicates_of_hot_keys(spark, monkeypatch):
+    """Salted bands and parts, pieces of few rows: one of each group stays."""
+    for name, value in (("SALT_ROWS", 15), ("RUN_ROWS", 60), ("PROVED_ROWS", 40)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(120):  # one large group of near copies, all of them different
+        x = list(base)
+        x[i] = f"own{i}"
+        rows.append((i, " ".join(x)))
+    rows += [(200 + i, " ".join(f"w{rng.randrange(900)}" for _ in range(120))) for i in range(30)]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [0, *range(200, 230)]
+
+
 def test_bands_meet_as_often_as_likeness_says():
     rng = np.random.default_rng(1)
     met = []
