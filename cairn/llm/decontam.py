@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, tidy
 
 K1, B = 1.2, 0.75
 #: Least score (of an item's own), least share of words of the question and of the answer that stand in order.
@@ -241,35 +241,40 @@ def finders(benchmark: DataFrame, score: float = SCORE, share: float = OVERLAP)
     if head is None:
         return
     n_items, mean_words = head["rows"], head["n"] / head["rows"]
+    # equal items are one in the index: a text's copies would all fall into one chunk
+    alone = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
     chunks = max(1, math.ceil(head["n"] / INDEX_WORDS))
-    placed = items.withColumn("_chunk", F.pmod(F.xxhash64("text"), F.lit(chunks)))
+    placed = alone.withColumn("_chunk", F.pmod(F.xxhash64("text"), F.lit(chunks)))
     for c in range(chunks):
         rows = [(r["item_id"], r["text"]) for r in placed.where(F.col("_chunk") == c).orderBy("item_id", "text").select("item_id", "text").collect() if words_of(r["text"])]
         if rows:
             used = spark.createDataFrame([(w,) for w in {w for _, t in rows for w in words_of(t)}], "word string")
             frequency = {r["word"]: r["n"] for r in stats.join(used, "word").collect()}
-            yield rows, n_items, mean_words, frequency, score, share
+            yield [(k, t) for k, (_, t) in enumerate(rows)], n_items, mean_words, frequency, score, share
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, share: float = OVERLAP) -> DataFrame:
     """A row for each document and item that it holds: both ids, the best passage, its score and both overlaps."""
-    out = docs.sparkSession.createDataFrame([], FOUND)
+    out = docs.sparkSession.createDataFrame([], f"{FOUND}, item_text string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for finder in finders(benchmark, score, share):
         out = out.unionByName(_search(texts, finder))
-    return out
+    # what the index holds once is found under each of its ids
+    ids = benchmark.select(F.col("item_id").cast("long").alias("_item"), F.col("text").alias("_text"))
+    named = out.join(ids, F.col("item_text") == F.col("_text"))
+    return named.select("doc_id", F.col("_item").alias("item_id"), *[c.split()[0] for c in FOUND.split(", ")[2:]])
 
 
 def _search(texts: DataFrame, made_of: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(*made_of)
+        finder, items = Finder(*made_of), dict(made_of[0])
         for batch in batches:
-            found = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for f in finder.find(t.as_py())]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-            names = ["doc_id", "item_id", "passage_word", "score", "question_overlap", "answer_overlap"]
+            found = [(d, *f, items[f[0]]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for f in finder.find(t.as_py())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+            names = ["doc_id", "item_id", "passage_word", "score", "question_overlap", "answer_overlap", "item_text"]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=names)
 
-    return texts.mapInArrow(run, FOUND)
+    return texts.mapInArrow(tidy(run), f"{FOUND}, item_text string")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
@@ -286,5 +291,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> Da
         return run
 
     for made_of in finders(benchmark, **parameters):
-        out = out.mapInArrow(keeper(made_of), docs.schema)
+        out = out.mapInArrow(tidy(keeper(made_of)), docs.schema)
     return out
