@@ -4,8 +4,9 @@ Lines that hold a key of license notices, with as many words around as the longe
 blocks; blocks that meet are one. A block is compressed with
 zstandard alone and with each template as a raw dictionary; templates are ranked by the size that they save. In
 that order a template is confirmed by its exact wording: the words of both are aligned, and it is found if few of
-its words are missing or changed and few are put in; the first one confirmed wins. What is found is cut out, and the rest of the block is tried
-again, so a block may hold several notices.
+its words are missing or changed and few are put in; the first one confirmed without a difference wins, else the one that
+explains the most words, differences taken off. What is found is cut out, and the rest of the block is tried again, so a
+block may hold several notices.
 
 Result: a row for each notice found, with its span in code points, the share of the size saved, and the
 differences (none: `exact`). Nulls: null and empty texts hold nothing; a null doc_id stays null. Repeated rows
@@ -46,15 +47,47 @@ TEMPLATES: dict[str, list[str]] = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
+    "GPL-2.0-only": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "LGPL-3.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "GPL-3.0-only": ["SPDX-License-Identifier: GPL-3.0-only"],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
+    "LGPL-3.0": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
@@ -68,6 +101,8 @@ KEYS = ["licen", "copyright", "rights reserved", "permission", "warrant", "redis
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 #: Most words of a template that may be missing or changed, or put in, by share.
 MISSING, EXTRA = 0.1, 0.1
+#: Words that a difference takes from those that a template explains.
+DIFFERS = 3
 #: A key may be parted by a line's end and what a comment's lines begin with.
 KEY = re.compile("|".join(re.escape(k).replace("\\ ", r"[\W_]+") for k in KEYS), re.IGNORECASE)
 FIRST = [k.split()[0] for k in KEYS]
@@ -177,12 +212,16 @@ class Scanner:
                 continue
             words = [s[0] for s in spots[lo:hi]]
             piece = block[spots[lo][1] : spots[hi - 1][2]]
-            held, best = Counter(words), None
+            held, best, most = Counter(words), None, 0
             for saved, k in self.rank(piece):
                 name, template, counts = self.known[k][0], self.known[k][1], self.counts[k]
                 if sum(min(n, held[w]) for w, n in counts.items()) >= (1 - MISSING) * len(template) and (got := self.confirm(words, template)):
-                    best = (name, saved, got)
-                    break
+                    # wordings may differ in a word: an exact one stands, else the one that explains the most words
+                    explained = len(template) - got[2] - DIFFERS * (got[2] + got[3])
+                    if best is None or explained > most:
+                        best, most = (name, saved, got), explained
+                    if got[2] == got[3] == 0:
+                        break
             if best:
                 name, saved, (a, b, missing, extra) = best
                 out.append((name, spots[lo + a][1], spots[lo + b - 1][2], saved, missing, extra))

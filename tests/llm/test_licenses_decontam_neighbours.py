@@ -157,6 +157,23 @@ def test_edits_equal_plain_dynamic_programming():
         assert decontam.edits(part, text) == min(row)
 
 
+@pytest.mark.parametrize("width", [20, 30, 40, 60, 120])
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_notices_of_any_width_are_found(scanner, prefix, width):
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            lines = textwrap.wrap(t, width, break_on_hyphens=False, break_long_words=False)
+            assert name in [g[0] for g in scanner.scan("Before.\n" + "\n".join(prefix + x for x in lines) + "\nAnd others behind it.")], (name, t)
+
+
+@pytest.mark.parametrize("before", [50, 53, 55, 58, 60, 63])
+def test_notices_behind_many_key_lines_are_whole(scanner, before):
+    for name in ("MIT", "BSD-3-Clause", "Apache-2.0"):
+        notice = max(licenses.TEMPLATES[name], key=len)
+        text = "\n".join(f"permission number {k}" for k in range(before)) + "\n" + "\n".join(textwrap.wrap(notice, 72, break_on_hyphens=False))
+        assert [(g[0], g[4], g[5]) for g in scanner.scan(text)] == [(name, 0, 0)]
+
+
 @pytest.mark.parametrize("gap", ["\n", "\n\n"])
 @pytest.mark.parametrize("prefix", ["", "# ", " * "])
 def test_wrapped_notices_are_found(scanner, prefix, gap):
@@ -175,3 +192,50 @@ def test_adjoining_notices_are_whole_across_cuts(scanner):
         got = scanner.scan(text)
         assert [(g[0], g[4], g[5]) for g in got] == [("Apache-2.0", 0, 0)] * 60
         assert all(text[g[1] : g[2]].split() == notice.rstrip(".").split() for g in got)
+
+
+def test_many_chunks_and_equal_items(spark, monkeypatch):
+    """An index of several chunks finds what one finds, equal items under each of their ids."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(12, 40))) + ". " + " ".join(rnd.choices(words, k=6))) for i in range(40)]
+    items += [(100 + i, items[0][1]) for i in range(5)] + [(200, None), (201, "")]
+    docs = [(i, " ".join(rnd.choices(words, k=60)) + " " + items[i % 40][1] + " " + " ".join(rnd.choices(words, k=30))) for i in range(60)] + [(900, " ".join(rnd.choices(words, k=200)))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontam.contaminated(d, b).collect())
+    one = rows()
+    assert {(x, y) for x, y, _ in one} >= {(i, i % 40) for i in range(60)} | {(0, 100 + k) for k in range(5)}
+    kept = sorted(r["doc_id"] for r in decontam.drop_contaminated(d, b).collect())
+    monkeypatch.setattr(decontam, "INDEX_WORDS", 150)
+    assert rows() == one and sorted(r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()) == kept == [900]
+
+
+def test_neighbours_merge_over_tasks(spark, monkeypatch):
+    """With all buckets visited and many small tasks the result is the exact one."""
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 37)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 12))
+    x[50:90] = x[10]  # very common rows
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("id") % 20 == 0, k=7, success=1.1).collect()
+    for q in range(0, 400, 20):
+        scores = [(-neighbours.exact(x[q : q + 1], x[i : i + 1])[0], i) for i in range(400) if i != q]
+        want = [i for _, i in sorted(scores)[:7]]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.1])
+def test_recall_holds_on_clusters_too(spark, spread):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 2400)] / np.linalg.norm(centres, axis=1).mean() + rng.normal(size=(2400, 32)) * spread
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("id") % 20 == 0, k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 2400, 20):
+        s = x @ x[q]
+        s[q] = -math.inf
+        hits += len(got[q] & set(np.argsort(-s)[:10].tolist()))
+    assert hits / (10 * 120) >= 0.9
