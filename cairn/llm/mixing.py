@@ -57,7 +57,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHT_CYCLE, mo
 
 def queued(sized: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size of every row; source_size, target; `upto`: the words of its source up to and with it."""
-    shuffle = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # the size tells rows of one doc_id, null above all, apart: one id may stand in very many rows
+    shuffle = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string")))
     keyed = sized.withColumn("shuffle", shuffle).withColumn("doc_key", F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")))
     keyed = keyed.withColumn("cell", F.substring("shuffle", 1, CELL_DIGITS))
     sources = source_targets(sized).select(F.col("source").alias("s"), "source_rank", "source_size", "target")
@@ -85,10 +86,12 @@ def cut_point(placed: DataFrame, most: int = MAX_EPOCHS) -> DataFrame:
     slice: the last time cell of which anything is taken; at: the last copy in it, null if the cell is taken whole.
     """
     spread = placed.withColumn("epoch", F.explode(F.slice(F.array(*map(F.lit, range(most))), F.lit(1), _epochs(most))))
-    timed = spread.withColumn("finish", _finish(F.col("epoch"))).withColumn("slice", F.floor(F.col("finish") * TIME_CELLS).cast("long"))
+    # at time t each source lacks at most one document of its t targets, and these documents together at most the budget:
+    # by time 2 the budget is reached, whatever the sources, so there are 2 * TIME_CELLS cells at most
+    timed = spread.withColumn("finish", _finish(F.col("epoch"))).where("finish <= 2").withColumn("slice", F.floor(F.col("finish") * TIME_CELLS).cast("long"))
     budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
     running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each time cell in use: their number does not grow with the documents
+    # one row for each time cell in use
     cells = timed.groupBy("slice").agg(F.sum("size").alias("words")).select("slice", "words", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before"))
     cells = cells.crossJoin(F.broadcast(budget)).where(F.col("before") < F.col("budget"))
     whole = cells.where(F.col("before") + F.col("words") <= F.col("budget")).agg(F.max("slice").alias("whole"))
@@ -152,8 +155,8 @@ levelled AS (
 chosen AS (SELECT level AS found FROM levelled WHERE level <= ratio ORDER BY ratio, source_rank LIMIT 1),
 targets AS (SELECT source, source_rank, source_size, LEAST(CAST(cap AS DOUBLE), COALESCE((SELECT found FROM chosen) * w, CAST(cap AS DOUBLE))) AS target FROM weighted),
 queued AS (
-  SELECT d.doc_id, d.size, t.source_rank, t.source_size, t.target, md5('7:' || COALESCE(CAST(d.doc_id AS VARCHAR), 'null')) AS shuffle,
-    SUM(d.size) OVER (PARTITION BY t.source_rank ORDER BY md5('7:' || COALESCE(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT d.doc_id, d.size, t.source_rank, t.source_size, t.target, md5('7:' || COALESCE(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.size) AS shuffle,
+    SUM(d.size) OVER (PARTITION BY t.source_rank ORDER BY md5('7:' || COALESCE(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.size), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 copies AS (
   SELECT q.*, e.epoch, CAST(e.epoch * q.source_size + q.upto AS DOUBLE) / q.target AS finish

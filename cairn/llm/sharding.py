@@ -5,8 +5,9 @@ key and the child's name, and the least draw wins, so a child is chosen with a c
 weight. A draw depends on the key and the child alone: when a weight changes, the draws of the other children
 stay, and rows move only to or from the subtree whose weight changed.
 
-`shard_tree(n)` opens a new region whenever the last is full, so a shard that opens a region takes rows only
-into itself: the number of shards in the trees that the `key` law compares is a multiple of a region's size.
+`shard_tree(n)` groups the shards that were planned for; a shard beyond the plan, or in a region that isn't full, stands
+as a region of its own, whose weight is new while all others stay. So from the plan on, one more shard takes rows only
+into itself, whatever their number; below it that holds but for the shard that fills a region, which regroups it.
 
 Nulls: a null key is a key of its own (the word null); a null text has no bytes. Repeated rows get the same
 shard and slots of their own. Other columns take no part and their names don't matter. An empty table gives
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RACKS_PER_REGION, SHARDS_PER_RACK = 2, 4
+#: Shards that regions are planned for.
+PLANNED = 24
 #: Slots are counted within hash cells of each shard (so many hex digits of md5) and then offset: no task holds a shard.
 CELL_DIGITS = 3
 
@@ -33,17 +36,19 @@ class Node:
     shard: int = -1
 
 
-def shard_tree(n_shards: int, racks: int = RACKS_PER_REGION, shards: int = SHARDS_PER_RACK) -> Node:
-    """Regions of `racks` racks of `shards` shards, filled in order; a subtree weighs the shards that it holds."""
+def shard_tree(n_shards: int, racks: int = RACKS_PER_REGION, shards: int = SHARDS_PER_RACK, planned: int = PLANNED) -> Node:
+    """Full regions of `racks` racks of `shards` shards for the planned shards, and a region for each other one; a subtree
+    weighs the shards that it holds."""
     if n_shards < 1:
         raise ValueError("a tree has one shard at least")
-
-    def group(kind: str, leaves: list[Node], size: int) -> list[Node]:
-        parts = [leaves[i : i + size] for i in range(0, len(leaves), size)]
-        return [Node(f"{kind}{i}", sum(x.weight for x in p), tuple(p)) for i, p in enumerate(parts)]
-
     leaves = [Node(f"shard{i}", 1.0, shard=i) for i in range(n_shards)]
-    regions = group("region", group("rack", leaves, shards), racks)
+    size = racks * shards
+    full = min(n_shards, planned) // size * size
+    parts = [leaves[i : i + size] for i in range(0, full, size)] + [[x] for x in leaves[full:]]
+    regions = []
+    for r, part in enumerate(parts):
+        held = [part[i : i + shards] for i in range(0, len(part), shards)]
+        regions.append(Node(f"region{r}", float(len(part)), tuple(Node(f"rack{r * racks + k}", float(len(h)), tuple(h)) for k, h in enumerate(held))))
     return Node("root", float(n_shards), tuple(regions))
 
 

@@ -1,11 +1,13 @@
 """Null, empty, repeated and clashing rows; laws of sharding and mixing; exact round trips; brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,14 @@ def test_key_law_sizes_and_slots(odd, none):
             assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 24, 25, 26, 28, 31, 32, 33])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id")
+    rows = sharding.assign_shards(sharding.assign_shards(ids, "doc_id", sharding.shard_tree(n), "a"), "doc_id", sharding.shard_tree(n + 1), "b").collect()
+    assert all(r["b"] in (r["a"], n) for r in rows) and {r["a"] for r in rows} == set(range(n))
+    assert abs(sum(r["b"] == n for r in rows) - 6000 / (n + 1)) < 5 * math.sqrt(6000 / (n + 1))
+
+
 def test_shards_are_even_and_movement_is_confined(spark):
     ids = spark.range(40_000).withColumnRenamed("id", "doc_id")
     rows = sharding.assign_shards(sharding.assign_shards(ids, "doc_id", sharding.shard_tree(24), "a"), "doc_id", sharding.shard_tree(25), "b").collect()
@@ -179,3 +189,74 @@ def test_repeated_rows_have_fates_of_their_own(spark):
         want[(r["doc_id"], r["source"])] += len(r["epochs"])
     assert len({tuple(r["epochs"]) for r in plan if r["doc_id"] is None}) > 1 or len({tuple(r["epochs"]) for r in plan if r["doc_id"] == 5}) > 1
     assert words(mixing.mixed_rows(docs).collect()) == +want
+
+
+def slow_bundle(text):
+    """A text's vector by its definition, letter by letter."""
+    letter = lambda ch: np.random.default_rng([langid.SEED, ord(ch)]).integers(0, 2, langid.DIM, dtype=np.int8).astype(float) * 2 - 1
+    said = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    if not said.strip():
+        return None
+    known = {c: letter(c) for c in set(said)}
+    out = sum(np.roll(known[a], 2) * np.roll(known[b], 1) * known[c] for a, b, c in zip(said, said[1:], said[2:], strict=False))
+    return out / np.linalg.norm(out)
+
+
+def test_languages_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 400).alias("text"), "lang")
+    odd = spark.createDataFrame([(9000, None, "en"), (9001, "12 !", "de"), (9002, "Ünïcode straße", None), (None, "the cat", "en")], docs.schema)
+    docs = docs.unionByName(odd).withColumn("LANG_pred", F.lit("x")).drop("LANG_pred")
+    rows = docs.collect()
+    fold = lambda r: zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 3
+    vectors = [slow_bundle(r["text"] or "") for r in rows]
+    sums = {}
+    for r, v in zip(rows, vectors, strict=True):
+        if v is not None and r["lang"] is not None and fold(r) != 1:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + v
+    names = sorted(sums)
+    prototypes = np.array([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    mean = prototypes.mean(axis=0)
+    own = (prototypes - mean) / np.linalg.norm(prototypes - mean, axis=1)[:, None]
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for r, v in zip(rows, vectors, strict=True):
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (fold(r) == 1)
+        if v is None:
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        cos = own @ (v - mean) / np.linalg.norm(v - mean)
+        best = np.sort(cos)
+        assert g["score"] == pytest.approx(max(0.0, best[-1]), abs=1e-4)
+        if best[-1] - best[-2] > 1e-4:
+            assert g["lang_pred"] == names[int(np.argmax(cos))]
+
+
+def test_sample_of_labelled_rows_is_bounded_and_stable(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'abc' as text", "'en' as lang")
+    some = {r["doc_id"] for r in langid.labelled(docs, 500).collect()}
+    assert 400 < len(some) < 600 and some == {r["doc_id"] for r in langid.labelled(docs, 500).collect()}
+    assert langid.labelled(docs, 4000).count() == 4000
+
+
+def test_equal_prototypes_go_to_the_first_language(spark):
+    rows = [(i, "same words here", "ab"[i % 2]) for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got} == {"a"}
+
+
+def test_long_conversations_are_cut_from_batches(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STEP_BYTES", 2000)
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} of {c} " * (400 if c == 3 else 3)) for c in range(9) for t in range(6)]
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), catalog.tokenizer_path())
+    got = {r["conv_id"]: r for r in chat.read_back(formatted, catalog.tokenizer_path()).collect()}
+    for c in range(9):
+        own = [r for r in rows if r[0] == c]
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in own).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(t for _, _, r, t in own if r == "assistant").encode()).hexdigest()
+
+
+def test_rows_without_id_do_not_share_one_cell(spark):
+    rows = [(None, "w " * (i % 50 + 1), "en", "s", 1, 1, "") for i in range(500)]
+    cells = mixing.queued(spark.createDataFrame(rows, DOCS).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).select("shuffle").distinct().count()
+    assert cells == 50
