@@ -5,13 +5,14 @@ length one and get a zero there. The inner product then orders as the distance d
 FUNCTIONS hash functions floor((a.x + b) / w): a is Gaussian (made orthogonal within a table), b puts a boundary at
 the sample's median, and w is so wide that nearly all vectors fall beside it. A neighbour at the expected
 similarity projects as a normal variable around the query's own projection; so each bucket has an estimated chance
-to hold it, and a query visits the buckets of each table in that order until the chances sum to `success`.
+to hold it, and a query visits the buckets of each table in that order until the chances sum to `success`, the least with
+which queries of the sample find their neighbours in it with a recall of RECALL.
 
 Index rows are dealt at random over tasks of a bounded size, and every task gets every query with its buckets, so
 no bucket, however common, is one task. There the buckets' rows are multiplied with the queries that visit them;
 the candidates of all tables are merged, and the best are scored again, exactly, in double precision.
 
-The boundaries and the expected similarity are fitted on at most SAMPLE vectors; all vectors are indexed. A vector
+The boundaries, the expected similarity and the success are fitted on at most 2 * SAMPLE vectors; all vectors are indexed. A vector
 that more than k + 1 rows share is indexed under the least k + 1 ids: no query can return others. The non-empty
 buckets, at most (2 * REACH) ** FUNCTIONS a table and in practice about 2 ** FUNCTIONS, are known to all.
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import ready, written
 
 TABLES, FUNCTIONS, WIDTH, REACH = 4, 10, 8.0, 2
-#: Estimated success in each table: with all tables together, measured recall is in the README.
-SUCCESS = 0.5
+#: Estimated successes in each table that may be asked for, and the recall that the one chosen has on the sample.
+SUCCESSES, RECALL = (0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99), 0.95
 SAMPLE, SEED = 4096, 11
 #: Index rows for one task, queries multiplied at once.
 TASK_ROWS, QUERY_ROWS = 16_384, 128
@@ -79,6 +80,25 @@ class Hasher:
         rank = min(near.shape[1] - 1, max(1, round(k * len(sample) / max(rows, 1))))  # place 0 is the vector itself
         self.rho = float(np.clip(np.quantile(near[:, rank], 0.1), 0.05, 0.95))
 
+    def calibrated(self, sample: np.ndarray, rows: int, k: int, recall: float = RECALL) -> float:
+        """The least estimated success with which the sample's own queries find their neighbours in it with that recall; 2
+        (all buckets) if none does. How the estimates stand to truth depends on the data: clusters are harder than noise."""
+        if len(sample) < 3:
+            return 2.0
+        q, x = self.query_form(sample[:256]), self.index_form(sample)
+        score = sample[:256] @ sample.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        rank = min(len(sample) - 1, max(1, round(k * len(sample) / max(rows, 1))))
+        wanted = score >= np.partition(score, -rank, axis=1)[:, -rank][:, None]
+        places = [np.unique(self.buckets(x, t), return_inverse=True) for t in range(len(self.a))]
+        for success in SUCCESSES:
+            found = np.zeros(score.shape, bool)
+            for t, (known, place) in enumerate(places):
+                found |= self.visits(q, t, known, success)[:, place]
+            if (found & wanted).sum() >= recall * wanted.sum():
+                return success
+        return 2.0
+
     def buckets(self, x: np.ndarray, t: int) -> np.ndarray:
         """One number for the hash values of each row in table t."""
         h = np.clip(np.floor((x @ self.a[t] + self.b[t]) / WIDTH), -REACH, REACH - 1).astype(np.int64) + REACH
@@ -145,7 +165,7 @@ def prepared(vectors: DataFrame, id_column: str, vector_column: str) -> DataFram
     return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", success: float = SUCCESS) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", success: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id meets `queries` (of column id) the k nearest found."""
     spark = ready(vectors.sparkSession)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -161,6 +181,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "v
     sample = matrix(drawn.column("v").combine_chunks()) if drawn.num_rows else np.array([rows.first()["v"]])
     hasher = Hasher(dim, head["norm"] * (1 + 1e-12))
     hasher.fit(sample, n, k)
+    success = hasher.calibrated(sample, n, k) if success is None else success
 
     least = Window.partitionBy("v").orderBy("id")
     index = rows.withColumn("r", F.dense_rank().over(least)).where(F.col("r") <= k + 1).select("id", "v")
