@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, slices, tidy
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 MARKS = [TURN, TEXT, END]
+#: Bytes of conversations that are encoded at once.
+STEP_BYTES = 1 << 18
 #: Control strings of this template and of common ones.
 CONTROL = [*MARKS, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>"]
 LOSS_ROLE = "assistant"
@@ -91,8 +93,7 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load_tokenizer(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, STEP_BYTES):
                 made = [render(list(zip(r, x, strict=True))) for r, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 rows = []
                 for (text, spans), e in zip(made, t.encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
@@ -112,7 +113,7 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
                 )
 
     ready(conversations.sparkSession)
-    return ordered.mapInArrow(run, OUT)
+    return ordered.mapInArrow(tidy(run), OUT)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -137,7 +138,7 @@ def read_back(formatted_chats: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load_tokenizer(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4 * STEP_BYTES)):
             cols = {n: batch.column(n).to_pylist() for n in ("conv_id", "token_ids", "loss_mask", "token_from", "token_to")}
             rows = []
             for i, conv in enumerate(cols["conv_id"]):
@@ -151,4 +152,4 @@ def read_back(formatted_chats: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     ready(formatted_chats.sparkSession)
-    return formatted_chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted_chats.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
