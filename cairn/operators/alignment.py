@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .details import tokens_before, tokens_in_span
+from .details import bound, tokens_before, tokens_in_span
 
 
 def located(full: Column, raw: Column) -> Column:
@@ -97,16 +97,17 @@ def aligned(df: DataFrame, full: str = "full_text", spans: str = "spans", offset
     raw text.
     """
     zeros = lambda s: F.size(F.filter(s, lambda x: x["count"] == 0))
-    plain = df.withColumns({"_raw": over_offsets(F.col(spans), F.col(offsets)), "_lie": offsets_lie(F.col(offsets), F.col(full))})
-    plain = plain.withColumns({"_zero": zeros(F.col("_raw")), "_decoded": F.array_join(F.col(pieces), "")})
+    plain = bound(df, {"_raw": over_offsets(F.col(spans), F.col(offsets)), "_lie": offsets_lie(F.col(offsets), F.col(full)), "_decoded": F.array_join(F.col(pieces), "")})
+    plain = plain.withColumn("_zero", zeros(F.col("_raw")))
     # the map is made where it is needed only
     doubt = F.col("_lie") | (F.col("_zero") > 0)
     mapped = plain.withColumn("_map", _map(F.when(doubt, F.col(full)).otherwise(F.lit("")), F.when(doubt, F.col("_decoded")).otherwise(F.lit(""))))
     to = lambda c: F.element_at("_map", (c + 1).cast("int")).cast("int")
     moved = F.transform(F.col(spans), lambda s: F.struct(to(s["start"]).alias("start"), F.greatest(to(s["start"]), to(s["end"])).alias("end")))
-    both = mapped.withColumn("_pieces", piece_offsets(F.col(pieces))).withColumn("_new", F.when(doubt, over_offsets(moved, F.col("_pieces"))))
+    placed = bound(mapped, {"_pieces": piece_offsets(F.col(pieces)), "_moved": F.when(doubt, moved)})
+    both = bound(placed, {"_new": over_offsets(F.col("_moved"), F.col("_pieces"))})
     use = doubt & (F.col("_lie") | (zeros(F.col("_new")) < F.col("_zero")))
     kept = F.zip_with(F.col("_new"), F.col(spans), lambda n, s: n.withField("start", s["start"]).withField("end", s["end"]))
     prompt = F.when(use, tokens_before(F.col("_pieces"), to(F.col(raw_start)))).otherwise(tokens_before(F.col(offsets), F.col(raw_start)))
-    out = both.withColumns({"sentences": F.when(use, kept).otherwise(F.col("_raw")), "prompt_tokens": prompt, "by_decoded": use})
-    return out.drop("_raw", "_lie", "_zero", "_decoded", "_map", "_pieces", "_new")
+    out = bound(both, {"sentences": F.when(use, kept).otherwise(F.col("_raw")), "prompt_tokens": prompt, "by_decoded": use})
+    return out.drop("_raw", "_lie", "_zero", "_decoded", "_map", "_pieces", "_moved", "_new")

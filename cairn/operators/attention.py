@@ -65,7 +65,8 @@ METRICS = ["current_vs_prior", "current_vs_prev", "current_vs_prev3", "recent_vs
 def layer_features(df: DataFrame, keys: list[str], heads: str, layer: str, place: dict[str, Column], recent: int = 64) -> DataFrame:
     """keys, layer, metric, mean, std, max: the heads' metrics of each row's layer, summarised over its heads."""
     by_head = df.select(*keys, layer, F.transform(F.col(heads), lambda h: head_metrics(h, place, recent)).alias("_m"))
-    long = by_head.select(*keys, layer, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.transform("_m", lambda x, m=m: x[m]).alias("v")) for m in METRICS])).alias("f"))
+    values = lambda m: F.struct(F.lit(m).alias("metric"), F.transform("_m", lambda x: x[m]).alias("v"))
+    long = by_head.select(*keys, layer, F.explode(F.array(*map(values, METRICS))).alias("f"))
     return long.select(*keys, layer, "f.metric", F.inline(F.array(metrics.head_summary(F.col("f.v")))))
 
 

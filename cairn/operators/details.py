@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .select import first_per, random_key
 
 
+def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """With new columns that are computed once for each row, whatever uses them behind: the optimizer puts plain columns
+    into each place that names them, which multiplies work inside lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def vector_variant(slots: Column, filled: Column, variant: str = "final") -> Column:
     """Of slots of vectors, newest first: the newest; its change from the one before; its change from the mean of the
     filled ones before. A change without anything before it is zero."""

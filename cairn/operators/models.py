@@ -10,9 +10,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, CountVectorizer, Imputer, NGram, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.claims import any_of
 from ..functions.intervals import finite
 from .metrics import balanced_threshold, confusion, prevalence_threshold, ranking
 from .select import first_per
@@ -23,7 +24,7 @@ def tfidf(train: DataFrame, apply_to: DataFrame, key: str, text: str, most_terms
 
     The vocabulary is the most frequent terms of the training rows; all is long tables and joins on terms.
     """
-    words = lambda df: df.select(key, F.regexp_extract_all(F.lower(text), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0)).alias("w"))
+    words = lambda df: df.select(key, F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)).alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.col("w")[i - 1], F.try_element_at("w", i + 1)))
     grams = lambda df: words(df).select(key, F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     seen = grams(train)
@@ -178,3 +179,70 @@ def best_candidates(candidates: DataFrame, keys: list[str], objective: str, ties
     made = candidates.withColumns({f"_{i}": finite(F.col(c)) for i, c in enumerate(OBJECTIVES[objective])})
     best = first_per(made, keys, [*order, F.asc("feature_count"), F.asc("candidate_complexity"), *ties])
     return best.drop(*[f"_{i}" for i, _ in enumerate(order)])
+
+
+def run_specs(envs: list[str], protocols: list[str]) -> list[dict]:
+    """What is trained on what and judged on which: single_source_ood and holdout_env_ood."""
+    out = []
+    for protocol in protocols:
+        if protocol == "single_source_ood":
+            out += [{"scenario": protocol, "label": e, "sources": [e], "ood": [o for o in envs if o != e], "heldout": None} for e in envs]
+        elif protocol == "holdout_env_ood":
+            out += [{"scenario": protocol, "label": f"All except {e}", "sources": [o for o in envs if o != e], "ood": [e], "heldout": e} for e in envs]
+        else:
+            raise ValueError(f"unknown protocol: {protocol}")
+    return out
+
+
+def coefficient_summary(coefficients: DataFrame, ranking_: DataFrame, keys: list[str], feature: str = "feature", source: str = "train_env") -> DataFrame:
+    """For each key and feature the mean, mean absolute and largest absolute coefficient and the number of sources, with the
+    feature's columns of the ranking, whose first row for each feature (by its place) counts."""
+    rows = coefficients.groupBy(*keys, feature).agg(
+        F.avg("coefficient").alias("mean_coefficient"),
+        F.avg(F.abs("coefficient")).alias("mean_abs_coefficient"),
+        F.max(F.abs("coefficient")).alias("max_abs_coefficient"),
+        F.count_distinct(source).alias("selected_in_sources"),
+    )
+    return rows.join(first_per(ranking_, [feature], ["place"]), feature, "left")
+
+
+def best_of_panels(summaries: DataFrame, panels: DataFrame, keys: list[str], order: list[str] = ("mean_ood_auroc", "min_ood_auroc", "source_val_auroc"), ties: list[str] = ()) -> DataFrame:
+    """For each row of the panels the best summary with the same keys; panels without any have no row."""
+    made = panels.withColumn("_panel", F.monotonically_increasing_id()).join(summaries, keys)
+    return first_per(made, ["_panel"], [*[F.desc_nulls_last(c) for c in order], *ties]).drop("_panel")
+
+
+def nearest_dumps(selected: DataFrame, dumps: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """For each chosen (env, alpha, length) the first dump, by path, of that environment and length whose alpha is the same
+    to the tolerance. Alphas meet by their rounded values and those beside."""
+    step = 10 * tolerance
+    cell = lambda c: F.floor(c / step).cast("long")
+    asked = selected.withColumn("_cell", F.explode(F.array(*[cell(F.col("alpha")) + d for d in (-1, 0, 1)])))
+    held = dumps.select("env", F.col("alpha").alias("_alpha"), "length", "path").withColumn("_cell", cell(F.col("_alpha")))
+    met = asked.join(held, ["env", "length", "_cell"]).where(F.abs(F.col("alpha") - F.col("_alpha")) < tolerance)
+    return met.groupBy("env", "alpha", "length").agg(F.min("path").alias("path"))
+
+
+#: Families of features by prefix, names of token counts, and what a summary adds to a name.
+CHANGE = ["delta_", "devrun_", "logratio_prev_", "slope3_", "min_gap_", "max_gap_"]
+NORMALIZED = ["z_", "pct_"]
+CONCENTRATION = ["entropy_", "top1_", "top5_", "top10_", "herfindahl_", "effective_support_"]
+TOKEN_COUNTS = ["token_count", "context_token_count", "prompt_token_count", "raw_text_context_token_count", "available_token_count", "prior_all_token_count", "previous_sentence_token_count", "recent_token_count", "early_token_count"]
+SUMMARY, BLOCK = "__(layer_\\w+)$", "_b(\\d+)$"
+
+
+def feature_parts(name: Column) -> Column:
+    """struct(root, summary) of a feature's name: a summary over layers, a block, or none."""
+    layer, block = F.regexp_extract(name, SUMMARY, 1), F.regexp_extract(name, BLOCK, 1)
+    root = F.when(layer != "", F.regexp_replace(name, SUMMARY, "")).otherwise(F.regexp_replace(name, BLOCK, ""))
+    return F.struct(root.alias("root"), F.when(layer != "", layer).when(block != "", F.concat(F.lit("block_b"), block)).otherwise(F.lit("")).alias("summary"))
+
+
+def feature_family(name: Column) -> Column:
+    """The family of a feature, by the prefix or the name of its root."""
+    root = feature_parts(name)["root"]
+    begins = lambda *prefixes: any_of([F.startswith(root, F.lit(p)) for p in prefixes])
+    out = F.when(begins(*CHANGE), "change").when(begins(*NORMALIZED), "normalized").when(begins("geom_"), "geometry").when(begins("dyn_"), "dynamics")
+    out = out.when(F.endswith(root, F.lit("_token_count")) | root.isin(TOKEN_COUNTS), "token_count").when(root.isin("start_token", "end_token"), "token_position")
+    out = out.when(begins("act_") | root.contains("_act_"), "activation").when(begins("g_"), "grounding")
+    return out.when(begins(*CONCENTRATION), "concentration").otherwise("other")

@@ -6,11 +6,12 @@ NULL. All is expressions: no row leaves the engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import direction, label, optional_int
 from ..functions.jsonx import option_map
+from ..functions.messages import answer_of, bare, decision_in, decision_of, dialogue_turns, reasoning_of
 from . import labels
 
 PREVIEW = "offer_base_salary:string,true_has_other_offer:boolean,true_other_offer_base_salary:string,true_other_offer_company:string,label_unambiguous:boolean,deceptive:boolean"
@@ -215,3 +216,57 @@ def guesses_reasoning(model: Column) -> Column:
     for m in REASONING_MARKS:
         out = out | low.contains(m)
     return out
+
+
+def _first_stated(objects: Column, read) -> Column:
+    """struct(found, object) of the last object, in order of the text, in which something is found."""
+    some = F.filter(F.transform(F.reverse(objects), lambda o: F.struct(read(o).alias("found"), o.alias("object"))), lambda p: p["found"].isNotNull())
+    return F.try_element_at(some, F.lit(1))
+
+
+def advisor_response(text: Column, objects: Column, model: Column, ids: Column, by_place: Column) -> Column:
+    """An advisor's answer from what a model wrote: struct(option, message, reasoning, mode). `objects` are the JSON objects
+    behind its reasoning, in order: the last one that names an option counts (or does with the only option that the text
+    names), else the text alone; mode NULL says that nothing was found."""
+    said = answer_of(text, model)
+    only = lambda t: F.array_distinct(F.filter(ids, lambda i: (i != "") & F.regexp_like(F.lower(t), whole_word(i))))
+    named = F.when(F.size(only(said)) == 1, F.try_element_at(only(said), F.lit(1)))
+    names = [n for k in RECOMMENDED for n in dict.fromkeys((k, k.lower()))]
+    stated = _first_stated(objects, lambda o: F.coalesce(option_id(json_value(o, names), ids, by_place), named))
+    message = json_value(stated["object"], ["Message", "message", "advisor_message", "recommendation_message"])
+    mode = F.when(stated.isNotNull(), "json").when(named.isNotNull(), "text")
+    return F.struct(F.coalesce(stated["found"], named).alias("option"), F.when(mode.isNotNull(), F.coalesce(bare(message), F.lit(""))).alias("message"), reasoning_of(text, model).alias("reasoning"), mode.alias("mode"))
+
+
+def investor_response(text: Column, objects: Column, model: Column) -> Column:
+    """An investor's answer in the same way: struct(decision, message, reasoning, mode)."""
+    named = decision_in(answer_of(text, model))
+    stated = _first_stated(objects, lambda o: decision_of(json_value(o, ["Decision", "decision"])))
+    mode = F.when(stated.isNotNull(), "json").when(named.isNotNull(), "text")
+    message = json_value(stated["object"], ["Message", "message"])
+    return F.struct(F.coalesce(stated["found"], named).alias("decision"), F.when(mode.isNotNull(), F.coalesce(bare(message), F.lit(""))).alias("message"), reasoning_of(text, model).alias("reasoning"), mode.alias("mode"))
+
+
+def scenario_variants(rows: DataFrame, base: DataFrame, order: str) -> DataFrame:
+    """Conversation records over their base scenarios: name, base_scenario_name, conversation_id, turns and the base's columns.
+
+    The base is named by the first of base_scenario_name and scenario_name; an unknown one raises. An id is the record's
+    conversation_id or id, else made of the base's name and the record's place; a variant is named by scenario_variant_name,
+    variant_name or its id.
+    """
+    some = lambda *names: [F.nullif(F.trim(column(rows, n)), F.lit("")) for n in names]
+    named = rows.withColumn("_base", F.coalesce(*some("base_scenario_name", "scenario_name")))
+    # the place of a record counts in the names of those without an id only: a list of conversations, not data
+    placed = named.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1)
+    made = placed.join(F.broadcast(base.withColumnRenamed("name", "_known")), F.col("_base") == F.col("_known"), "left")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown base scenario: "), F.coalesce("_base", F.lit("none"))))).otherwise(F.col("_known"))
+    own = F.coalesce(*some("conversation_id", "id"), F.concat("_known", F.lit("__conversation_"), F.lpad(F.col("_place").cast("string"), 5, "0")))
+    columns = [c for c in base.columns if c != "name"]
+    return made.select(F.coalesce(*some("scenario_variant_name", "variant_name"), own).alias("name"), known.alias("base_scenario_name"), own.alias("conversation_id"), dialogue_turns(F.col("turns")).alias("turns"), *columns)
+
+
+def history_places(df: DataFrame) -> DataFrame:
+    """With left_pos and right_pos: the places, from 0, of the probes at a document's bracket in its history."""
+    ends = F.transform("history", lambda h: h["sentence_end_idx"])
+    place = lambda c: F.when(F.array_position(ends, F.col(c)) > 0, F.array_position(ends, F.col(c)) - 1)
+    return df.withColumns({"left_pos": place("left_sentence_end_idx"), "right_pos": place("right_sentence_end_idx")})

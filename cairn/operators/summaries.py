@@ -154,3 +154,21 @@ def plot_rates(rows: DataFrame, label: str = "patch_label", rate_: str = "decept
 def rated_rows(rows: DataFrame, rate_: str, least: float) -> DataFrame:
     """Rows with a finite rate of at least `least`; all rows if that is not above 0."""
     return rows.where(finite(F.col(rate_)) >= least) if least > 0 else rows
+
+
+ARMS = ["none", "truth_steering", "deception_steering"]
+
+
+def validation_settings(rows: DataFrame, keys: list[str], condition: str = "condition_name", rate_: str = "mean_counterfactual_deception_rate", invalid: str = "mean_invalid_rate") -> DataFrame:
+    """One row a setting of the validation phase: rates and invalid shares of the three arms, what each steering does, the
+    gap between them, and the largest invalid share."""
+    wide = rows.where("phase = 'validation'").groupBy(*keys).pivot(condition, ARMS).agg(F.first(rate_).alias("rate"), F.first(invalid).alias("invalid"))
+    at = lambda arm, what: F.col(f"{arm}_{what}")
+    return wide.withColumns(
+        {
+            "truth_effect": at("none", "rate") - at("truth_steering", "rate"),
+            "deception_effect": at("deception_steering", "rate") - at("none", "rate"),
+            "bidirectional_gap": at("deception_steering", "rate") - at("truth_steering", "rate"),
+            "max_invalid_rate": F.greatest(*[at(a, "invalid") for a in ARMS]),
+        }
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..operators import details
 from .curve_queries import trace_index
-from .registry import query, r6, table
+from .registry import PROBES, query, r6, table
 
 _SLOTS = "s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, LAG(CAST(embedding AS DOUBLE[])) OVER w AS b, LAG(CAST(embedding AS DOUBLE[]), 2) OVER w AS c FROM embeddings WHERE embedding IS NOT NULL WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
 
@@ -137,10 +137,17 @@ def vector_validation(spark, d):
     return details.vector_faults(table(spark, d, "embeddings"), "embedding", 64)
 
 
-@query()
+@query(
+    f"""WITH {PROBES}, t AS (SELECT trace, 'env' || trace % 5 AS env, 'm' || trace % 4 AS model, COUNT(*) AS np FROM p GROUP BY trace), x AS (SELECT t.*, env || '|' || model AS cell, jump FROM t LEFT JOIN firsts USING (trace)),
+r AS (SELECT * FROM x WHERE jump > 0 ORDER BY jump DESC, trace LIMIT 1),
+f AS (SELECT x.* FROM x LEFT JOIN r ON TRUE WHERE x.jump <= 0 ORDER BY CASE WHEN x.cell IS DISTINCT FROM r.cell AND x.model IS DISTINCT FROM r.model THEN 0 WHEN x.cell IS DISTINCT FROM r.cell THEN 1 ELSE 2 END, -x.jump DESC, x.trace LIMIT 1),
+l AS (SELECT x.* FROM x LEFT JOIN r ON TRUE LEFT JOIN f ON TRUE ORDER BY CASE WHEN x.cell IS DISTINCT FROM r.cell AND x.cell IS DISTINCT FROM f.cell AND x.model IS DISTINCT FROM r.model AND x.model IS DISTINCT FROM f.model THEN 0
+  WHEN x.cell IS DISTINCT FROM r.cell AND x.cell IS DISTINCT FROM f.cell THEN 1 ELSE 2 END, x.np DESC, x.trace LIMIT 1)
+SELECT 'rise' AS kind, trace, round(jump, 6) AS score FROM r UNION ALL SELECT 'fall', trace, round(-jump, 6) FROM f UNION ALL SELECT 'long', trace, CAST(np AS DOUBLE) FROM l"""
+)
 def worked_example_choice(spark, d):
     """The steepest rise, the steepest fall and the longest trace, from different cells where there are any."""
     index = trace_index(spark, d)
     rise, fall = F.col("direction") == "rise", F.col("direction") == "fall"
     rows = details.worked_examples(index, ("env", "model"), "trace", {"rise": (rise, F.col("jdelta")), "fall": (fall, -F.col("jdelta")), "long": (F.lit(True), F.col("np").cast("double"))})
-    return spark.createDataFrame(rows, "kind string, trace long, score double")
+    return spark.createDataFrame([(kind, trace, round(score, 6)) for kind, trace, score in rows], "kind string, trace long, score double")

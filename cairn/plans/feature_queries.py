@@ -7,10 +7,11 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import messages
-from ..operators import alignment, attention, environments, models, records, summaries
+from ..functions import jsonx, messages
+from ..operators import alignment, attention, curves, environments, models, records, summaries
+from ..operators.details import bound
 from .record_queries import dealt, expected
-from .registry import query, r6, rounded, table
+from .registry import PROBES, query, r6, rounded, table
 
 
 def cased(columns: str, outputs: str, cases: list[tuple], given: int):
@@ -156,7 +157,8 @@ def aligned_sentences(spark, d):
     offsets = F.transform(at, lambda i: F.struct(F.when(k == 1, F.lit(0)).otherwise(4 * i).alias("s"), F.when(k == 1, F.lit(2)).otherwise(F.least(n, 4 * i + 4)).alias("e")))
     pieces = F.transform(at, lambda i: F.substring("text", (4 * i + 1).cast("int"), F.lit(4)))
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(z).alias("end")) for a, z in ((0, 10), (10, 30), (30, 45))])
-    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("full_text"), spans.alias("spans"), offsets.alias("offsets"), pieces.alias("pieces"), F.lit(10).alias("raw_start"))
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    rows = bound(items, {"full_text": F.col("text"), "spans": spans, "offsets": offsets, "pieces": pieces, "raw_start": F.lit(10)})
     made = alignment.aligned(rows).select("item_id", "prompt_tokens", "by_decoded", F.inline("sentences"))
     return made.select("item_id", "start", "end", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("count").cast("long").alias("n_tokens"), F.col("prompt_tokens").cast("long").alias("prompt_tokens"), "by_decoded")
 
@@ -362,3 +364,129 @@ def feature_subset_transfer(spark, d):
     made, _ = models.evaluate_features(docs, "lang", "y", ["a", "b"], ["de", "en", "es", "fr"], "train_balanced_accuracy", maxIter=10)
     return made.withColumn("auroc", r6("auroc"))
 
+
+
+_FEATURES = [("delta_entropy_mean__layer_std", "change", "delta_entropy_mean", "layer_std"), ("z_x_b12", "normalized", "z_x", "block_b12"), ("geom_a", "geometry", "geom_a", ""), ("raw_token_count", "token_count", "raw_token_count", ""), ("start_token", "token_position", "start_token", ""), ("x_act_y", "activation", "x_act_y", ""), ("g_x", "grounding", "g_x", ""), ("top10_prior", "concentration", "top10_prior", ""), ("misc", "other", "misc", ""), ("dyn_b", "dynamics", "dyn_b", "")]
+
+
+@query(cased("feature, family, root, summary", "family:s, root:s, summary:s", _FEATURES, 1))
+def feature_families(spark, d):
+    rows = dealt(spark, d, [{"feature": f} for f, *_ in _FEATURES], "feature string")
+    f = F.col("feature")
+    return rows.select("o_orderkey", models.feature_family(f).alias("family"), models.feature_parts(f)["root"].alias("root"), models.feature_parts(f)["summary"].alias("summary"))
+
+
+@query("WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '<｜end▁of▁sentence｜>tail' ELSE '' END AS t, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(CASE WHEN length(text) > 6000 THEN substr(text, 1, 6000) || chr(10) || '[truncated for the judge]' ELSE text END) AS judged FROM t")
+def judged_texts(spark, d):
+    """Texts as a judge sees them; half of them go on behind an end mark."""
+    t = table(spark, d, "documents").where("text is not null")
+    said = F.concat("text", F.when(F.col("doc_id") % 2 == 0, "<｜end▁of▁sentence｜>tail").otherwise(""))
+    return t.select("doc_id", F.md5(messages.judged_text(said)).alias("judged"))
+
+
+_ADVICE = [
+    ('why</think>{"Recommended_investment_id": "2", "Message": " Take it. "}', "muni_bond_etf", "Take it.", "why</think>", "json"),
+    ('{"x": 1} {"recommendation": "stock_fund"} {"note": 3}', "stock_fund", "", "", "json"),
+    ("{'Recommended_investment_id': 'nothing', 'flag': true} but muni_bond_etf it is", "muni_bond_etf", "", "", "json"),
+    ("I say stock_fund.", "stock_fund", "", "", "text"),
+    ("stock_fund or muni_bond_etf", None, None, "", None),
+    (None, None, None, "", None),
+]
+
+
+@query(cased("text, option, message, reasoning, mode", "option:s, message:s, reasoning:s, mode:s", _ADVICE, 1))
+def advisor_responses(spark, d):
+    rows = dealt(spark, d, [{"text": t} for t, *_ in _ADVICE], "text string").withColumn("objects", jsonx.objects_udf(messages.answer_of(F.col("text"), F.lit(None).cast("string"))))
+    ids, places = F.array(F.lit("stock_fund"), F.lit("muni_bond_etf")), F.create_map(F.lit(1), F.lit("stock_fund"), F.lit(2), F.lit("muni_bond_etf"))
+    made = records.advisor_response(F.col("text"), F.col("objects"), F.lit(None).cast("string"), ids, places)
+    return bound(rows, {"r": made}).select("o_orderkey", "r.option", "r.message", "r.reasoning", "r.mode")
+
+
+_DECISIONS = [
+    ('hm</think>{"Decision": "second opinion please, AUDIT", "Message": "go"}', "AUDIT", "go", "json"),
+    ('{"decision": "f"}', "FOLLOW", "", "json"),
+    ("I would follow the advice", "FOLLOW", "", "text"),
+    ("audit or follow", None, None, None),
+    ('{"decision": "wait"} a second_opinion', "AUDIT", "", "text"),
+]
+
+
+@query(cased("text, decision, message, mode", "decision:s, message:s, mode:s", _DECISIONS, 1))
+def investor_responses(spark, d):
+    rows = dealt(spark, d, [{"text": t} for t, *_ in _DECISIONS], "text string").withColumn("objects", jsonx.objects_udf(messages.answer_of(F.col("text"), F.lit(None).cast("string"))))
+    made = records.investor_response(F.col("text"), F.col("objects"), F.lit(None).cast("string"))
+    return bound(rows, {"r": made}).select("o_orderkey", "r.decision", "r.message", "r.mode")
+
+
+@query(
+    """WITH c AS (SELECT o_orderstatus AS train_env, 'f' || o_custkey % 30 AS feature, AVG(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS DOUBLE) ELSE -CAST(o_totalprice AS DOUBLE) END) / 1000 AS coefficient FROM orders GROUP BY 1, 2)
+SELECT feature, round(AVG(coefficient), 6) + 0.0 AS mean_coefficient, round(AVG(abs(coefficient)), 6) AS mean_abs_coefficient, round(MAX(abs(coefficient)), 6) AS max_abs_coefficient, COUNT(DISTINCT train_env) AS selected_in_sources, CASE WHEN CAST(substr(feature, 2) AS INT) < 20 THEN CAST(substr(feature, 2) AS BIGINT) END AS place FROM c GROUP BY 1"""
+)
+def coefficient_summary(spark, d):
+    signed = F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(-1.0) * F.col("o_totalprice").cast("double")
+    c = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("train_env"), F.concat(F.lit("f"), F.col("o_custkey") % 30).alias("feature")).agg((F.avg(signed) / 1000).alias("coefficient"))
+    twice = spark.range(20).select(F.concat(F.lit("f"), F.col("id")).alias("feature"), F.explode(F.array(F.col("id"), F.col("id") + 100)).alias("place"))
+    out = rounded(models.coefficient_summary(c, twice, []), "mean_coefficient", "mean_abs_coefficient", "max_abs_coefficient")
+    return out.withColumn("mean_coefficient", F.col("mean_coefficient") + 0.0)
+
+
+@query("WITH b AS (SELECT p_brand, p_type, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, length(p_name) DESC, p_partkey DESC) AS r FROM part) SELECT n_nationkey, p_type, p_partkey FROM nation JOIN b ON p_brand = 'Brand#' || (11 + n_nationkey % 5) WHERE r = 1")
+def best_of_panels(spark, d):
+    """Nations as panels, each of one brand; parts as summaries."""
+    parts = table(spark, d, "part").select("p_brand", "p_type", "p_partkey", F.col("p_size").alias("mean_ood_auroc"), F.length("p_name").alias("min_ood_auroc"), F.col("p_partkey").alias("source_val_auroc"))
+    boxes = parts.select("p_type").distinct()
+    panels = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Brand#"), F.col("n_nationkey") % 5 + 11).alias("p_brand")).crossJoin(F.broadcast(boxes))
+    return models.best_of_panels(parts, panels, ["p_brand", "p_type"]).select("n_nationkey", "p_type", "p_partkey")
+
+
+@query(
+    """WITH d AS (SELECT 'e' || s_nationkey % 3 AS env, (s_suppkey % 7) / 10.0 + 4e-10 AS alpha, s_suppkey % 2 AS length, 'p' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS path FROM supplier), s AS (SELECT DISTINCT 'e' || n_nationkey % 3 AS env, (n_nationkey % 9) / 10.0 AS alpha, n_nationkey % 2 AS length FROM nation)
+SELECT s.env, round(s.alpha, 6) AS alpha, s.length, MIN(path) AS path FROM s JOIN d ON d.env = s.env AND d.length = s.length AND abs(d.alpha - s.alpha) < 1e-9 GROUP BY 1, 2, 3"""
+)
+def nearest_dumps(spark, d):
+    dumps = table(spark, d, "supplier").select(F.concat(F.lit("e"), F.col("s_nationkey") % 3).alias("env"), ((F.col("s_suppkey") % 7) / 10.0 + 4e-10).alias("alpha"), (F.col("s_suppkey") % 2).alias("length"), F.concat(F.lit("p"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("path"))
+    k = F.col("n_nationkey")
+    wanted = table(spark, d, "nation").select(F.concat(F.lit("e"), k % 3).alias("env"), ((k % 9) / 10.0).alias("alpha"), (k % 2).alias("length")).distinct()
+    return rounded(models.nearest_dumps(wanted, dumps), "alpha")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey % 12 AS setting_id, ['none', 'truth_steering', 'deception_steering'][1 + o_orderkey % 3] AS cond, AVG(CAST(o_totalprice AS DOUBLE)) / 1e6 AS r, AVG(o_orderkey % 10) / 10.0 AS i FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+p AS (SELECT setting_id, MAX(r) FILTER (WHERE cond = 'none') AS n, MAX(r) FILTER (WHERE cond = 'truth_steering') AS t, MAX(r) FILTER (WHERE cond = 'deception_steering') AS d, MAX(i) AS most FROM c GROUP BY 1)
+SELECT setting_id, round(n - t, 6) + 0.0 AS truth_effect, round(d - n, 6) + 0.0 AS deception_effect, round(d - t, 6) + 0.0 AS bidirectional_gap, round(most, 6) AS max_invalid_rate FROM p"""
+)
+def validation_settings(spark, d):
+    o = table(spark, d, "orders")
+    arm = F.element_at(F.array(*map(F.lit, summaries.ARMS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = o.groupBy((F.col("o_custkey") % 12).alias("setting_id"), arm.alias("condition_name"), F.when(F.col("o_orderstatus") == "F", "validation").otherwise("test").alias("phase")).agg(
+        (F.avg(F.col("o_totalprice").cast("double")) / 1e6).alias("mean_counterfactual_deception_rate"), (F.avg(F.col("o_orderkey") % 10) / 10.0).alias("mean_invalid_rate")
+    )
+    names = ["truth_effect", "deception_effect", "bidirectional_gap"]
+    made = summaries.validation_settings(rows, ["setting_id"]).select("setting_id", *names, "max_invalid_rate")
+    return rounded(made, *names, "max_invalid_rate").withColumns({n: r6(n) + 0.0 for n in names})
+
+
+@query(
+    """WITH c AS (SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY 1)
+SELECT CASE WHEN conv_id % 2 = 0 THEN 'v' || conv_id ELSE 'c' || conv_id END AS name, r_name AS base_scenario_name, 'c' || conv_id AS conversation_id, n AS turns, r_regionkey AS k FROM c JOIN region ON r_regionkey = conv_id % 5"""
+)
+def scenario_variants(spark, d):
+    """Conversations over regions as base scenarios."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("someone")).alias("role"), F.concat(F.lit("said "), F.coalesce("text", F.lit(""))).alias("content"))
+    none = F.lit(None).cast("string")
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    turns = F.transform("t", lambda x: F.struct(none.alias("speaker"), none.alias("name"), x["role"].alias("role"), none.alias("message"), x["content"].alias("content")))
+    base = table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("k"))
+    named = talks.withColumn("r", F.col("conv_id") % 5).join(base.withColumnRenamed("name", "scenario_name"), F.col("r") == F.col("k")).drop("k")
+    rows = named.select(F.concat(F.lit("c"), "conv_id").alias("conversation_id"), "scenario_name", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("v"), "conv_id")).alias("variant_name"), turns.alias("turns"))
+    out = records.scenario_variants(rows, base, "conversation_id")
+    return out.select("name", "base_scenario_name", "conversation_id", F.size("turns").cast("long").alias("turns"), "k")
+
+
+@query(f"WITH {PROBES}, h AS (SELECT trace, i, ROW_NUMBER() OVER (PARTITION BY trace ORDER BY i) - 1 AS k FROM p) SELECT t.trace, l.k AS left_pos, r.k AS right_pos FROM (SELECT DISTINCT trace FROM p) t LEFT JOIN h l ON l.trace = t.trace AND l.i = 3 LEFT JOIN h r ON r.trace = t.trace AND r.i = 9")
+def history_places(spark, d):
+    """Traces of events whose bracket is from boundary 3 to 9."""
+    p = curves.clean(curves.probes_from_events(table(spark, d, "events")))
+    docs = p.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("sentence_end_idx"), "r"))).alias("history"))
+    made = records.history_places(docs.withColumns({"left_sentence_end_idx": F.lit(3), "right_sentence_end_idx": F.lit(9)}))
+    return made.select("trace", F.col("left_pos").cast("long").alias("left_pos"), F.col("right_pos").cast("long").alias("right_pos"))
