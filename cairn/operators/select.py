@@ -73,9 +73,7 @@ def placed(df: DataFrame, order: list, name: str) -> DataFrame:
     part, at = f"{name}_part", f"{name}_at"
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered_ = sorted_.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    path = shared.path(df.sparkSession, "placed")  # ranges are sampled: written once, so that sizes and rows agree
-    numbered_.write.parquet(path)
-    rows = df.sparkSession.read.schema(numbered_.schema).parquet(path)
+    rows = shared.kept(numbered_, "placed")  # ranges are sampled: written once, so that sizes and rows agree
     sizes = rows.groupBy(part).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(F.broadcast(sizes.select(part, before.alias("_before"))), part).withColumn(name, F.col("_before") + F.col(at)).drop(part, at, "_before")

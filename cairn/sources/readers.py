@@ -30,13 +30,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
 def read_lines(spark: SparkSession, path: str, recursive: str | None = None) -> DataFrame:
     """path, line_num (from 1) and text of each line that is not blank.
 
-    A line's number is its place in its file: files are read whole by one task each, as mined files are small.
+    Files are read in splits like any text. A line's number is its place in its file, by the split's start and the place
+    in it; no file is ever one row.
     """
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", recursive)
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
-    return files.where(F.trim("text") != "").select("path", (F.col("at") + 1).alias("line_num"), "text")
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    numbered = lines.withColumn("line_num", F.row_number().over(Window.partitionBy("path").orderBy("_start", "_at")))
+    return numbered.where(F.trim("text") != "").select("path", "line_num", "text")
 
 
 def run_info(path: Column, root: str) -> dict[str, Column]:

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intervals import rate
+from ..sources import shared
+
+
+#: Steps of a search over a graph between two written tables.
+KEEP_STEPS = 4
 
 
 class Sampler(Protocol):
@@ -137,9 +142,12 @@ def job_list(spark: SparkSession, total: int, scenarios: list[str]) -> DataFrame
 
 
 def distances(edges: DataFrame, start: int, most: int) -> DataFrame:
-    """node and least steps from `start` over edges (a, b), as far as `most` steps: a join and an aggregate for each step."""
+    """node and least steps from `start` over edges (a, b), as far as `most` steps: a join and an aggregate for each step, and
+    a written table every KEEP_STEPS of them, so that plans stay short."""
     seen = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("steps"))
-    for _ in range(most):
+    for step in range(most):
+        if step and step % KEEP_STEPS == 0:
+            seen = shared.kept(seen, "distances")
         ahead = seen.join(edges, F.col("node") == F.col("a")).select(F.col("b").cast("long").alias("node"), (F.col("steps") + 1).alias("steps"))
         seen = seen.unionByName(ahead).groupBy("node").agg(F.min("steps").alias("steps"))
     return seen

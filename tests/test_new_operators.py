@@ -157,3 +157,24 @@ def test_shared_folder_is_the_sessions(spark):
     shared.remove(spark, path)
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(path)
+
+
+def test_line_numbers_of_files_read_in_splits(spark, tmp_path):
+    from cairn.sources import readers
+
+    for name, n in (("a", 300), ("b", 7)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join("" if i % 5 == 4 else f"{name} line {i + 1}" for i in range(n)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        rows = readers.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 240 + 6 and all(r["text"].split()[-1] == str(r["line_num"]) for r in rows)
+
+
+def test_distances_of_a_long_chain(spark):
+    from cairn.streaming import incremental
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["node"]: r["steps"] for r in incremental.distances(edges, 0, 11).collect()} == {i: i for i in range(12)}
