@@ -178,3 +178,49 @@ def test_distances_of_a_long_chain(spark):
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
     assert {r["node"]: r["steps"] for r in incremental.distances(edges, 0, 11).collect()} == {i: i for i in range(12)}
+
+
+def test_commitment_pairs_equal_plain_search(spark):
+    import re
+
+    from cairn.operators import pairs
+
+    rnd = random.Random(7)
+    say = lambda: " ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "x1"], k=rnd.randint(2, 16))) + rnd.choice([".", "!", ""])
+    rows = []
+    for k in range(900):
+        history = []
+        for i in range(rnd.randint(0, 6)):
+            gens = [{"gen_text": rnd.choice([say() + " And more.", "", "two words."]), "is_truthful": rnd.choice([True, True, False, None]), "deceptive": None, "parse_error": None} for _ in range(rnd.randint(0, 4))]
+            history.append({"sentence_text": say(), "prefix_text": rnd.choice(["", "So far.", "So far. "]), "prompt": None, "deception_rate": rnd.choice([None, float("nan"), 0.0, 0.1, 0.3, 0.6, 0.8, 0.9]), "num_valid": rnd.choice([None, 3, 9, 9, 9]), "num_truthful": 1, "generations": gens})
+        rows.append((f"e{k % 2}", f"Run/{k}", f"p{k:03d}", "ask: ", history))
+    kind = "env string, example_id string, path string, prompt string, history array<struct<sentence_text:string,prefix_text:string,prompt:string,deception_rate:double,num_valid:int,num_truthful:int,generations:array<struct<gen_text:string,is_truthful:boolean,deceptive:boolean,parse_error:string>>>>"
+    got = pairs.commitment_pairs(spark.createDataFrame(rows, kind), most=5, least_valid=5).collect()
+
+    words = lambda t: len(re.findall("[A-Za-z]+", t))
+    first = lambda t: (re.match(r"(?s)(.+?[.!?][\"')\]]*)(?:\s+|$)", t.strip()) or [t.strip(), t.strip()])[1]
+    plain = lambda t: re.sub(r"^[ .!?\"']+|[ .!?\"']+$", "", re.sub(r"\s+", " ", t.lower()))
+    want = {}
+    for env, example, path, prompt, history in rows:
+        for i in range(1, len(history)):
+            a, b = history[i - 1], history[i]
+            rates = [a["deception_rate"], b["deception_rate"]]
+            if any(r is None or r != r for r in rates) or rates[1] - rates[0] <= 0.2 or rates[1] < 0.5 or min(a["num_valid"] or 0, b["num_valid"] or 0) < 5 or words(b["sentence_text"]) < 4 or not a["prefix_text"]:
+                continue
+            some = [(abs(words(s) - 12), len(s), j, s) for j, g in enumerate(a["generations"]) if g["is_truthful"] and words(s := first(g["gen_text"])) >= 4 and plain(s) != plain(b["sentence_text"])]
+            if some:
+                d = min(some)
+                want.setdefault(env, []).append((-(rates[1] - rates[0]), -rates[1], -len(some), -words(d[3]), path, i, d[2], d[3], prompt + a["prefix_text"] + ("" if a["prefix_text"].endswith(" ") else " ") + d[3]))
+    assert sum(map(len, want.values())) > 10
+    for env, found in want.items():
+        mine = [r for r in got if r["env"] == env]
+        assert sorted((r["path"], r["commitment_pos"], r["truthful_sentence"], r["truthful_text"]) for r in mine) == sorted((p, i, s, t) for *_, p, i, _, s, t in sorted(found)[:5])
+
+
+def test_generations_as_a_viewer_shows_them(spark):
+    from cairn.operators import pairs
+
+    gens = [{"gen_text": "a" * 50, "is_truthful": None, "deceptive": True, "parse_error": None}, {"gen_text": "ok", "is_truthful": True, "deceptive": None, "parse_error": "bad"}, {"gen_text": None, "is_truthful": None, "deceptive": None, "parse_error": None}]
+    df = spark.createDataFrame([(gens,)], "g array<struct<gen_text:string,is_truthful:boolean,deceptive:boolean,parse_error:string>>")
+    got = df.select(pairs.viewed(F.col("g"), lambda c: c)).first()[0]
+    assert [(x["n"], x["label"], x["lossy"], x["error"]) for x in got] == [(1, "deceptive", True, None), (2, "honest", False, "bad"), (3, "ungraded", False, None)]
