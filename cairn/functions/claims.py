@@ -13,6 +13,12 @@ PASS_PHRASES = ["playing nothing", "play nothing", "pass", "passing", "shouldn't
 #: Patterns of a claim to another offer, and the phrases that deny one.
 OFFER_PATTERNS = ["\\banother (?:written )?offer\\b", "\\bother (?:written )?offer\\b", "\\bcompeting offer\\b", "\\bhigher offer\\b", "\\boffer elsewhere\\b", "\\boffer from\\b"]
 OFFER_DENIALS = ["no other offer", "do not have another offer"]
+#: A chat template's head, joints and tail in stored prompts, and what stands for them.
+CHAT_PATTERNS = [
+    ("(?s)^<\\|start\\|>system<\\|message\\|>.*?<\\|end\\|><\\|start\\|>developer<\\|message\\|>(# Instructions)?\\s*", ""),
+    ("<\\|end\\|><\\|start\\|>(user|developer|system)<\\|message\\|>", "\n\n"),
+    ("(?s)<\\|end\\|><\\|start\\|>assistant.*$", ""),
+]
 #: Chat control tokens in stored prompts and what stands for them.
 CHAT_TOKENS = [("<｜begin▁of▁sentence｜>", ""), ("<｜Assistant｜><think>\n", ""), ("<｜Assistant｜>", ""), ("<think>", ""), ("<｜User｜>", "\n\n"), ("<|im_start|>", ""), ("<|im_end|>", "")]
 #: Traces of templates and answers in text that cannot serve as a donor's reasoning.
@@ -63,9 +69,9 @@ def donor_clarity(first_sentence: Column, rank: Column, cards: Column) -> Column
 
 def clean_situation(prompt: Column) -> Column:
     """A stored prompt without the control tokens of its chat template."""
-    out = F.regexp_replace(prompt, "(?s)^<\\|start\\|>system<\\|message\\|>.*?<\\|end\\|><\\|start\\|>developer<\\|message\\|>(# Instructions)?\\s*", "")
-    out = F.regexp_replace(out, "<\\|end\\|><\\|start\\|>(user|developer|system)<\\|message\\|>", "\n\n")
-    out = F.regexp_replace(out, "(?s)<\\|end\\|><\\|start\\|>assistant.*$", "")
+    out = prompt
+    for pattern, instead in CHAT_PATTERNS:
+        out = F.regexp_replace(out, pattern, instead)
     for token, instead in CHAT_TOKENS:
         out = F.replace(out, F.lit(token), F.lit(instead))
     return F.regexp_replace(out, "^\\s+|\\s+$", "")
