@@ -300,6 +300,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has. No text is null."""
+        texts = texts.cast(pa.string())  # sessions may send large strings
         lengths = np.zeros(len(texts), np.int64)
         chars = pc.binary_length(texts).to_numpy()
         apart = pc.match_substring_regex(texts, BEHIND_SPACE).to_numpy(zero_copy_only=False) | (chars > STEP_BYTES)
