@@ -91,7 +91,7 @@ def trace_metrics(probes: DataFrame, least: float = JUMP) -> DataFrame:
         F.sum("nv").alias("nv"),
     )
     out = base.join(sharpest_step(steps), "trace").join(first_juncture(steps, least).withColumnRenamed("jump", "jdelta"), "trace", "left")
-    place = F.when(F.col("ns") != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("juncture") / F.greatest(F.lit(1), F.col("ns") - 1))))
+    place = F.when(F.col("juncture").isNotNull() & (F.col("ns") != 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("juncture") / F.greatest(F.lit(1), F.col("ns") - 1))))
     return out.withColumn("jpos", place)
 
 

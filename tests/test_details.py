@@ -83,3 +83,11 @@ def test_islands_and_curves_with_nulls(spark):
     empty = spark.createDataFrame([], "trace string, i int, nv int, nt int, r double")
     assert curves.trace_metrics(empty).collect() == [] and curves.grid_profile(empty).collect() == []
     assert [r["n"] for r in curves.histogram(empty.withColumn("x", F.lit(None).cast("double")), "x", 0.0, 1.0, 3).collect()] == [0, 0, 0]
+
+
+def test_traces_without_juncture_have_no_place(spark):
+    rates = {"calm": [0.1, 0.2, 0.3], "late": [0.1, 0.2, 0.9]}
+    probes = spark.createDataFrame([(t, i + 1, 10, 0, r) for t, rs in rates.items() for i, r in enumerate(rs)], "trace string, i int, nv int, nt int, r double")
+    index = curves.trace_metrics(probes)
+    assert {r["trace"]: (r["juncture"], r["jpos"]) for r in index.collect()} == {"calm": (None, None), "late": (2, 1.0)}
+    assert [r["n"] for r in curves.histogram(index, "jpos", 0.0, 1.0, 10).orderBy("bin").collect()] == [0] * 9 + [1]
