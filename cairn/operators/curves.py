@@ -76,7 +76,8 @@ def first_fall_below(steps: DataFrame, level: float = 0.5) -> DataFrame:
 def trace_metrics(probes: DataFrame, least: float = JUMP) -> DataFrame:
     """One row a trace: number of probes; `ns`, its sentences (the column ns where the probes have one, else the last
     boundary); first, last, least, largest and mean rate; swing (last less first); sharpest step; juncture, direction,
-    signed shift and place in the trace; all valid outcomes."""
+    signed shift and place in the trace (NULL without juncture); all valid outcomes. Rows without a trace are one trace
+    without steps."""
     steps = with_steps(clean(probes))
     length = F.max("ns") if "ns" in probes.columns else F.max("i")
     base = steps.groupBy("trace").agg(
@@ -90,8 +91,10 @@ def trace_metrics(probes: DataFrame, least: float = JUMP) -> DataFrame:
         (F.max_by("r", "i") - F.min_by("r", "i")).alias("swing"),
         F.sum("nv").alias("nv"),
     )
-    out = base.join(sharpest_step(steps), "trace").join(first_juncture(steps, least).withColumnRenamed("jump", "jdelta"), "trace", "left")
-    place = F.when(F.col("juncture").isNotNull() & (F.col("ns") != 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("juncture") / F.greatest(F.lit(1), F.col("ns") - 1))))
+    out = base.join(sharpest_step(steps), "trace", "left").withColumn("jump", F.coalesce("jump", F.lit(0.0))).join(first_juncture(steps, least).withColumnRenamed("jump", "jdelta"), "trace", "left")
+    # a stated number of 0 is none; a last boundary of 0 is one like any other
+    known = F.col("juncture").isNotNull() & ((F.col("ns") != 0) if "ns" in probes.columns else F.lit(True))
+    place = F.when(known, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("juncture") / F.greatest(F.lit(1), F.col("ns") - 1))))
     return out.withColumn("jpos", place)
 
 

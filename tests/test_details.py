@@ -91,3 +91,12 @@ def test_traces_without_juncture_have_no_place(spark):
     index = curves.trace_metrics(probes)
     assert {r["trace"]: (r["juncture"], r["jpos"]) for r in index.collect()} == {"calm": (None, None), "late": (2, 1.0)}
     assert [r["n"] for r in curves.histogram(index, "jpos", 0.0, 1.0, 10).orderBy("bin").collect()] == [0] * 9 + [1]
+
+
+def test_metrics_of_rows_without_trace_and_of_early_boundaries(spark):
+    rows = [(None, 1, 10, 0, 0.1), (None, 2, 10, 0, 0.9), ("early", -1, 10, 0, 0.1), ("early", 0, 10, 0, 0.9)]
+    probes = spark.createDataFrame(rows, "trace string, i int, nv int, nt int, r double")
+    got = {r["trace"]: (r["np"], r["jump"], r["jump_at"], r["juncture"], r["jpos"]) for r in curves.trace_metrics(probes).collect()}
+    assert got == {None: (2, 0.0, None, None, None), "early": (2, 0.8, 0, -1, 0.0)}
+    stated = curves.trace_metrics(probes.withColumn("ns", F.lit(0))).where("trace = 'early'").first()
+    assert stated["jpos"] is None
