@@ -138,9 +138,10 @@ def grid_profile(probes: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def next_probes(probes: DataFrame, order: str = "slope", least_spacing: int = 1) -> DataFrame:
-    """For each trace the midpoint to probe next: of the gap (more than 1) with the steepest change, or the widest."""
+    """For each trace the midpoint to probe next: of the gap (more than 1) with the steepest change, or the widest; the
+    first of equal ones. Slopes count to nine places: equal ones come out of subtractions with different last bits."""
     steps = with_steps(probes).where("gap > 1")
-    size = F.abs(F.col("delta")) / F.col("gap") if order == "slope" else F.col("gap").cast("double")
+    size = F.round(F.abs(F.col("delta")) / F.col("gap") * 1e9) / 1e9 if order == "slope" else F.col("gap").cast("double")
     middle = F.floor((F.col("prev_i") + F.col("i")) / 2)
     fits = ((middle - F.col("prev_i")) >= least_spacing) & ((F.col("i") - middle) >= least_spacing)
     best = Window.partitionBy("trace").orderBy(F.desc("size"), "prev_i")

@@ -222,7 +222,7 @@ def adjacent_pairs(spark, d):
 SELECT trace, next_i, round(size, 6) AS size FROM c WHERE next_i - prev_i >= 1 AND i - next_i >= 1 QUALIFY ROW_NUMBER() OVER (PARTITION BY trace ORDER BY size DESC, prev_i) = 1"""
 )
 def next_probe_by_slope(spark, d):
-    return rounded(curves.next_probes(_probes(spark, d).withColumn("r", F.col("r"))), "size")
+    return rounded(curves.next_probes(_probes(spark, d)), "size")
 
 
 @query(

@@ -100,3 +100,11 @@ def test_metrics_of_rows_without_trace_and_of_early_boundaries(spark):
     assert got == {None: (2, 0.0, None, None, None), "early": (2, 0.8, 0, -1, 0.0)}
     stated = curves.trace_metrics(probes.withColumn("ns", F.lit(0))).where("trace = 'early'").first()
     assert stated["jpos"] is None
+
+
+def test_equal_slopes_go_to_the_first_gap(spark):
+    rates = [(1, 0.0), (3, 0.1), (5, 0.2), (7, 0.3), (9, 0.4)]  # 0.3 - 0.2 and 0.4 - 0.3 are not 0.1 in the last bits
+    assert len({b - a for (_, a), (_, b) in zip(rates, rates[1:], strict=False)}) > 1
+    probes = spark.createDataFrame([(way, i, 10, 0, r if way == "up" else 0.4 - r) for way in ("up", "down") for i, r in rates], "trace string, i int, nv int, nt int, r double")
+    probes = probes.unionByName(spark.createDataFrame([("late", 1, 10, 0, 0.3), ("late", 3, 10, 0, 0.2), ("late", 5, 10, 0, 0.3), ("late", 7, 10, 0, 0.4)], probes.schema))
+    assert {r["trace"]: (r["next_i"], r["size"]) for r in curves.next_probes(probes).collect()} == {"up": (2, 0.05), "down": (2, 0.05), "late": (2, 0.05)}
