@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip_fences
+from .text import once, strip_fences
 
 #: What ends a reasoning trace, by kind of marker.
 CLOSE_MARKS = {"final": "(?is)assistant\\s*final", "think": "(?is)</think>", "bracket": "(?is)\\[/think\\]"}
@@ -53,16 +53,15 @@ def reasoning_span(text: Column, model: Column) -> Column:
 
 def reasoning_of(text: Column, model: Column) -> Column:
     """The reasoning: up to and with its marker; for models that end it by a channel, without that and the channel's name."""
-    found = reasoning_close(text, model)
-    channel = bare(F.regexp_replace(found["before"], "(?is)^\\s*analysis\\s*", ""))
-    own = F.when(is_gpt_oss(model) | (found["kind"] == "final"), channel).otherwise(bare(F.concat(found["before"], found["mark"])))
-    return F.coalesce(own, F.lit(""))
+    channel = lambda found: bare(F.regexp_replace(found["before"], "(?is)^\\s*analysis\\s*", ""))
+    own = lambda found: F.when(is_gpt_oss(model) | (found["kind"] == "final"), channel(found)).otherwise(bare(F.concat(found["before"], found["mark"])))
+    return F.coalesce(once(reasoning_close(text, model), own), F.lit(""))
 
 
 def answer_of(text: Column, model: Column) -> Column:
     """What stands behind the reasoning, without code fences."""
-    said = bare(F.coalesce(text, F.lit("")))
-    return strip_fences(F.coalesce(reasoning_close(said, model)["after"], said))
+    behind = lambda said: F.coalesce(reasoning_close(said, model)["after"], said)
+    return strip_fences(once(bare(F.coalesce(text, F.lit(""))), behind))
 
 
 def content_text(content: Column) -> Column:

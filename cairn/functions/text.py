@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ _STOP, _CLOSE, _BLANK, _LAST_WORD = re.compile("[.!?]"), re.compile(f"[{re.escap
 CUT_SENTENCE = "[^.!?\\n]+[.!?]+[\"')\\]]*|\\S[^.!?\\n]*$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value in several places and computes it once for each row, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def blank_runs_to_space(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)\\s+", " ")
 

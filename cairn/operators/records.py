@@ -6,12 +6,15 @@ NULL. All is expressions: no row leaves the engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import direction, label, optional_int
 from ..functions.jsonx import option_map
 from ..functions.messages import answer_of, bare, decision_in, decision_of, dialogue_turns, reasoning_of
+from ..functions.text import once
 from . import labels
 from .details import bound
 
@@ -100,14 +103,16 @@ def prompt_directions(prompt: Column) -> Column:
 
 def option_id(raw: Column, ids: Column, by_place: Column) -> Column:
     """An option's id from its id in any case, its place, "option 2", text that says such a thing, or text that holds an id."""
-    said = F.trim(raw)
-    low = F.lower(said)
-    place = lambda pattern: F.try_element_at(by_place, F.regexp_extract(said, pattern, 1).try_cast("int"))
-    same = F.filter(ids, lambda i: F.lower(F.trim(i)) == low)
-    held = F.filter(ids, lambda i: (F.trim(i) != "") & F.regexp_like(low, whole_word(i)))
     first = lambda xs: F.trim(F.try_element_at(xs, F.lit(1)))
-    found = F.coalesce(first(same), place("^([1-9]\\d*)$"), place("^(?i)(?:option|choice|investment)[\\s_#:\\-]*([1-9]\\d*)$"), place(OPTION_WORD), first(held))
-    return F.when(said != "", found)
+
+    def found(said: Column) -> Column:
+        place = lambda pattern: F.try_element_at(by_place, F.regexp_extract(said, pattern, 1).try_cast("int"))
+        same = F.filter(ids, lambda i: F.lower(F.trim(i)) == F.lower(said))
+        held = F.filter(ids, lambda i: (F.trim(i) != "") & F.regexp_like(F.lower(said), whole_word(i)))
+        known = F.coalesce(first(same), place("^([1-9]\\d*)$"), place("^(?i)(?:option|choice|investment)[\\s_#:\\-]*([1-9]\\d*)$"), place(OPTION_WORD), first(held))
+        return F.when(said != "", known)
+
+    return once(F.trim(raw), found)
 
 
 def whole_word(word: Column) -> Column:
@@ -229,27 +234,38 @@ def _first_stated(objects: Column, read) -> Column:
     return F.try_element_at(some, F.lit(1))
 
 
+def _response(name: str, said: Column, objects: Column, read, texts: Callable[[Column], Column], messages: list[str], reasoning: Column) -> Column:
+    """struct(`name`, message, reasoning, mode): what the last object states, else what the text does. Both are looked for
+    once for each row: `texts` reads the text, `read` an object, given what the text names."""
+    values = lambda named: F.struct(named.alias("named"), _first_stated(objects, lambda o: read(o, named)).alias("stated"))
+
+    def made(found: Column) -> Column:
+        named, stated = found["named"], found["stated"]
+        mode = F.when(stated.isNotNull(), "json").when(named.isNotNull(), "text")
+        message = F.when(mode.isNotNull(), F.coalesce(bare(json_value(stated["object"], messages)), F.lit("")))
+        return F.struct(F.coalesce(stated["found"], named).alias(name), message.alias("message"), reasoning.alias("reasoning"), mode.alias("mode"))
+
+    return once(once(once(said, texts), values), made)
+
+
 def advisor_response(text: Column, objects: Column, model: Column, ids: Column, by_place: Column) -> Column:
     """An advisor's answer from what a model wrote: struct(option, message, reasoning, mode). `objects` are the JSON objects
     behind its reasoning, in order: the last one that names an option counts (or does with the only option that the text
     names), else the text alone; mode NULL says that nothing was found."""
-    said = answer_of(text, model)
-    only = lambda t: F.array_distinct(F.filter(ids, lambda i: (i != "") & F.regexp_like(F.lower(t), whole_word(i))))
-    named = F.when(F.size(only(said)) == 1, F.try_element_at(only(said), F.lit(1)))
     names = [n for k in RECOMMENDED for n in dict.fromkeys((k, k.lower()))]
-    stated = _first_stated(objects, lambda o: F.coalesce(option_id(json_value(o, names), ids, by_place), named))
-    message = json_value(stated["object"], ["Message", "message", "advisor_message", "recommendation_message"])
-    mode = F.when(stated.isNotNull(), "json").when(named.isNotNull(), "text")
-    return F.struct(F.coalesce(stated["found"], named).alias("option"), F.when(mode.isNotNull(), F.coalesce(bare(message), F.lit(""))).alias("message"), reasoning_of(text, model).alias("reasoning"), mode.alias("mode"))
+
+    def only(said: Column) -> Column:
+        held = once(F.lower(said), lambda low: F.array_distinct(F.filter(ids, lambda i: (i != "") & F.regexp_like(low, whole_word(i)))))
+        return once(held, lambda xs: F.when(F.size(xs) == 1, F.try_element_at(xs, F.lit(1))))
+
+    read = lambda o, named: F.coalesce(option_id(json_value(o, names), ids, by_place), named)
+    return _response("option", answer_of(text, model), objects, read, only, ["Message", "message", "advisor_message", "recommendation_message"], reasoning_of(text, model))
 
 
 def investor_response(text: Column, objects: Column, model: Column) -> Column:
     """An investor's answer in the same way: struct(decision, message, reasoning, mode)."""
-    named = decision_in(answer_of(text, model))
-    stated = _first_stated(objects, lambda o: decision_of(json_value(o, ["Decision", "decision"])))
-    mode = F.when(stated.isNotNull(), "json").when(named.isNotNull(), "text")
-    message = json_value(stated["object"], ["Message", "message"])
-    return F.struct(F.coalesce(stated["found"], named).alias("decision"), F.when(mode.isNotNull(), F.coalesce(bare(message), F.lit(""))).alias("message"), reasoning_of(text, model).alias("reasoning"), mode.alias("mode"))
+    read = lambda o, _: once(json_value(o, ["Decision", "decision"]), decision_of)
+    return _response("decision", answer_of(text, model), objects, read, decision_in, ["Message", "message"], reasoning_of(text, model))
 
 
 def scenario_variants(rows: DataFrame, base: DataFrame, order: str) -> DataFrame:

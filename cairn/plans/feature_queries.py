@@ -396,7 +396,8 @@ _ADVICE = [
 
 @query(cased("text, option, message, reasoning, mode", "option:s, message:s, reasoning:s, mode:s", _ADVICE, 1))
 def advisor_responses(spark, d):
-    rows = dealt(spark, d, [{"text": t} for t, *_ in _ADVICE], "text string").withColumn("objects", jsonx.objects_udf(messages.answer_of(F.col("text"), F.lit(None).cast("string"))))
+    # reading an answer costs far more than its bytes say: a file's few splits are dealt anew
+    rows = dealt(spark, d, [{"text": t} for t, *_ in _ADVICE], "text string").repartition("o_orderkey").withColumn("objects", jsonx.objects_udf(messages.answer_of(F.col("text"), F.lit(None).cast("string"))))
     ids, places = F.array(F.lit("stock_fund"), F.lit("muni_bond_etf")), F.create_map(F.lit(1), F.lit("stock_fund"), F.lit(2), F.lit("muni_bond_etf"))
     made = records.advisor_response(F.col("text"), F.col("objects"), F.lit(None).cast("string"), ids, places)
     return bound(rows, {"r": made}).select("o_orderkey", "r.option", "r.message", "r.reasoning", "r.mode")

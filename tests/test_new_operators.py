@@ -224,3 +224,12 @@ def test_generations_as_a_viewer_shows_them(spark):
     df = spark.createDataFrame([(gens,)], "g array<struct<gen_text:string,is_truthful:boolean,deceptive:boolean,parse_error:string>>")
     got = df.select(pairs.viewed(F.col("g"), lambda c: c)).first()[0]
     assert [(x["n"], x["label"], x["lossy"], x["error"]) for x in got] == [(1, "deceptive", True, None), (2, "honest", False, "bad"), (3, "ungraded", False, None)]
+
+
+def test_responses_are_read_once_for_each_row(spark):
+    rows = spark.createDataFrame([("so</think>{}", ["{}"])], "text string, objects array<string>")
+    none = F.lit(None).cast("string")
+    advisor = records.advisor_response(F.col("text"), F.col("objects"), none, F.array(F.lit("a"), F.lit("b")), F.create_map(F.lit(1), F.lit("a")))
+    for made in (advisor, records.investor_response(F.col("text"), F.col("objects"), none)):
+        plan = rows.select(made.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("</think>") <= 20  # one search for the end of the reasoning for the answer, one for the reasoning
