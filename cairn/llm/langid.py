@@ -6,8 +6,8 @@ vectors, and a language's prototype bundles its texts' vectors, each of length o
 prototype with the largest cosine, after the mean of the prototypes, which tells no language from another, has
 been taken from both.
 
-Texts are lowered; what is not a letter parts words. The prototypes are learned on at most `sample` labelled
-documents, chosen by a hash of doc_id; all others are only predicted.
+Texts are lowered; what is not a letter parts words. The prototypes and the floors are learned on all labelled
+documents that are given.
 
 Nulls: a null or letterless text is `und` with score 0. Null languages are not learned from. With nothing to
 learn from, everything is `und`. The best language says nothing of whether it is any of them (centred cosines sum to
@@ -18,6 +18,7 @@ results; other columns take no part.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import ready, tidy
 
 DIM, SEED = 512, 20240
-#: The most labelled documents that the prototypes are learned on.
-SAMPLE = 20_000
 UND = "und"
 #: Trigrams whose vectors a task keeps, in bytes of one component each, and those bundled at once.
 MOST_GRAMS, STEP_GRAMS = 40_000, 2_000
 #: A text is like its language from this share of the low quantile of labelled texts on; fewer of these say nothing.
 LIKE_SHARE, LIKE_QUANTILE, LIKE_ROWS = 2 / 3, 0.05, 10
+#: Decimals to which cosines are counted for that quantile: a task keeps so many counts a language and length class.
+LIKE_DECIMALS = 4
 
 
 class Profiler:
@@ -116,20 +117,19 @@ def bucket(mod: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % mod
 
 
-def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows with a language and a text, about `sample` of them at most."""
+def labelled(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """Rows with a language and a text: all of them, or about `sample` at most, chosen by a hash of doc_id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    if n > sample:
+    if sample is not None and (n := rows.count()) > sample:
         share = int(sample / n * (1 << 32))
         key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
         rows = rows.where(key < share)
     return rows
 
 
-def learn(docs: DataFrame, dim: int = DIM, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their prototypes from rows with a language and a text."""
-    rows = labelled(docs, sample)
+def learn(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
+    """Languages, sorted, and their prototypes from all rows with a language and a text."""
+    rows = labelled(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, sums = Profiler(dim), {}
@@ -175,21 +175,27 @@ class Classifier:
         return self.langs[best], float(min(1.0, max(0.0, cos[best])))
 
 
-def learn_floors(docs: DataFrame, classifier: Classifier, sample: int = SAMPLE) -> dict[str, dict[int, float]]:
-    """For each language, by length class, the least plain cosine of a text that is like it."""
+def learn_floors(docs: DataFrame, classifier: Classifier) -> dict[str, dict[int, float]]:
+    """For each language, by length class, the least plain cosine of a text that is like it, from all rows with a language
+    and a text. The quantile is taken over counts of cosines rounded to LIKE_DECIMALS, so its state is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, place = Profiler(classifier.dim), {x: i for i, x in enumerate(classifier.langs)}
+        p, place, counts = Profiler(classifier.dim), {x: i for i, x in enumerate(classifier.langs)}, Counter()
         for batch in batches:
-            got = [(x, *p.bundle(t.as_py())) for x, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if x in place]
-            got = [(x, size, float(v @ classifier.prototypes[place[x]])) for x, v, size in got if v is not None]
-            kinds = [pa.string(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)], names=["lang", "size", "cos"])
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if lang in place:
+                    v, size = p.bundle(text.as_py())
+                    if v is not None:
+                        counts[lang, size, round(float(v @ classifier.prototypes[place[lang]]), LIKE_DECIMALS)] += 1
+        kinds = [pa.string(), pa.int32(), pa.float64()]
+        arrays = [pa.array([k[i] for k in counts], t) for i, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), pa.int64())], names=["lang", "size", "cos", "n"])
 
     ready(docs.sparkSession)
-    own = labelled(docs, sample).select("lang", "text").mapInArrow(tidy(run), "lang string, size int, cos double").groupBy("lang", "size")
+    own = labelled(docs).select("lang", "text").mapInArrow(tidy(run), "lang string, size int, cos double, n long")
+    own = own.groupBy("lang", "size", "cos").agg(F.sum("n").alias("n")).groupBy("lang", "size")
     out: dict[str, dict[int, float]] = {}
-    for r in own.agg(F.count("*").alias("n"), F.percentile("cos", F.lit(LIKE_QUANTILE)).alias("low")).collect():
+    for r in own.agg(F.sum("n").alias("n"), F.percentile("cos", F.lit(LIKE_QUANTILE), F.col("n")).alias("low")).collect():
         if r["n"] >= LIKE_ROWS:
             out.setdefault(r["lang"], {})[r["size"]] = LIKE_SHARE * r["low"]
     return out

@@ -260,3 +260,15 @@ def test_rows_without_id_do_not_share_one_cell(spark):
     rows = [(None, "w " * (i % 50 + 1), "en", "s", 1, 1, "") for i in range(500)]
     cells = mixing.queued(spark.createDataFrame(rows, DOCS).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).select("shuffle").distinct().count()
     assert cells == 50
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    # one text in 22,000 is like no other of its language: it moves the prototype, and counts for its own length class
+    docs = spark.range(22_000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'ab ba' else 'cd dc ee' end as text", "'en' as lang")
+    classifier = langid.Classifier(*langid.learn(docs))
+    p = langid.Profiler()
+    want = p.vector("ab ba").astype(float) + p.vector("cd dc ee")
+    assert np.allclose(classifier.prototypes[0], want / np.linalg.norm(want), atol=1e-6)
+    floors = langid.learn_floors(docs, classifier)
+    sizes = {p.bundle(t)[1]: float(p.vector(t) @ classifier.prototypes[0]) for t in ("ab ba", "cd dc ee")}
+    assert floors["en"] == {k: pytest.approx(langid.LIKE_SHARE * c, abs=1e-4) for k, c in sizes.items()}
