@@ -263,7 +263,7 @@ def test_rows_without_id_do_not_share_one_cell(spark):
 
 
 def test_all_labelled_rows_are_learned_from(spark):
-    # one text in 22,000 is like no other of its language: it moves the prototype, and counts for its own length class
+    # halves of equal weight: a sample by hash would hold them unequally
     docs = spark.range(22_000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'ab ba' else 'cd dc ee' end as text", "'en' as lang")
     classifier = langid.Classifier(*langid.learn(docs))
     p = langid.Profiler()
